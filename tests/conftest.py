@@ -5,9 +5,7 @@ from codeloom.session import local_session, ship
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(4, 4)
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    session = local_session(4, 4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     ship(session)
     yield session
     session.stop()
