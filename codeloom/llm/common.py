@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from codeloom.session import ship
 
+_own_dirs: dict[str, str] = {}
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -21,10 +23,12 @@ def ascii_lower(column: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="codeloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="codeloom-shared-")
+    return _own_dirs[app]
 
 
 def materialise(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
