@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import sharding
+from codeloom.llm import reputation, sharding, warc
 from codeloom.session import table
 
 
@@ -19,6 +19,63 @@ def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op4_rendezvous_sharding": op4_rendezvous_sharding}
+def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url by rule, else by its host's posterior; outcomes are the labels of the documents of that id."""
+    out = reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP2_SQL = """
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+o AS (SELECT doc_id AS page_id, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad, count(*) AS n
+  FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1),
+c AS (SELECT host, coalesce(sum(bad), 0)::DOUBLE AS bad, coalesce(sum(n), 0)::DOUBLE AS n FROM p LEFT JOIN o USING (page_id) GROUP BY 1),
+b AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS parts FROM c),
+h AS (SELECT host, bad, n, CASE WHEN array_to_string(parts[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br') THEN 2 ELSE 1 END AS w, parts FROM b),
+hosts AS (SELECT host, bad, n, array_to_string(list_slice(parts, -w - 1, -1), '.') AS domain, array_to_string(list_slice(parts, -w, -1), '.') AS suffix FROM h),
+g AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM hosts),
+s0 AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n, any_value(m) AS m FROM hosts, g GROUP BY 1),
+sk AS (SELECT 1 / (CASE WHEN b > 0 THEN least(0.5, greatest(0.001, (s - a) / b)) ELSE 0.5 END) - 1 AS k FROM
+  (SELECT sum((bad - n * m) * (bad / n - m)) AS s, sum(m * (1 - m)) AS a, sum(m * (1 - m) * (n - 1)) AS b FROM s0 WHERE n > 0)),
+s1 AS (SELECT suffix, (bad + k * m) / (n + k) AS m FROM s0, sk),
+d0 AS (SELECT suffix, domain, sum(bad) AS bad, sum(n) AS n, any_value(m) AS m FROM hosts JOIN s1 USING (suffix) GROUP BY 1, 2),
+dk AS (SELECT 1 / (CASE WHEN b > 0 THEN least(0.5, greatest(0.001, (s - a) / b)) ELSE 0.5 END) - 1 AS k FROM
+  (SELECT sum((bad - n * m) * (bad / n - m)) AS s, sum(m * (1 - m)) AS a, sum(m * (1 - m) * (n - 1)) AS b FROM d0 WHERE n > 0)),
+d1 AS (SELECT domain, (bad + k * m) / (n + k) AS m FROM d0, dk),
+h0 AS (SELECT host, bad, n, m FROM hosts JOIN d1 USING (domain)),
+hk AS (SELECT 1 / (CASE WHEN b > 0 THEN least(0.5, greatest(0.001, (s - a) / b)) ELSE 0.5 END) - 1 AS k FROM
+  (SELECT sum((bad - n * m) * (bad / n - m)) AS s, sum(m * (1 - m)) AS a, sum(m * (1 - m) * (n - 1)) AS b FROM h0 WHERE n > 0)),
+h1 AS (SELECT host, (bad + k * m) / (n + k) AS mean, n + k AS size FROM h0, hk),
+h2 AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (size + 1)) AS bound FROM h1),
+r AS (SELECT p.*, CASE
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM p)
+SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN bound > 0.4 THEN 'block' ELSE 'allow' END AS verdict FROM r LEFT JOIN h2 ON r.host = h2.host
+"""
+
+
+def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to a content-addressed archive and read back from it."""
+    return warc.archive_pages(spark, table(spark, sf_dir, "pages"))
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS owner FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN owner END AS refers_to FROM q
+"""
+
+QUERIES = {
+    "op2_host_reputation": op2_host_reputation,
+    "op4_rendezvous_sharding": op4_rendezvous_sharding,
+    "op9_warc_archive": op9_warc_archive,
+}
 #: The rest, op4 included (DuckDB has no CRC-32), is tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_host_reputation": OP2_SQL, "op9_warc_archive": OP9_SQL}
