@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import reputation, sharding, warc
+from codeloom.llm import decontamination, packing, reputation, sharding, token_output, warc
 from codeloom.session import table
 
 
@@ -72,10 +73,46 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
   CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN owner END AS refers_to FROM q
 """
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items."""
+    out = decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, l, array_to_string(list_slice(w, p, p + l - 1), ' ') AS g FROM
+  (SELECT item_id, w, least(13, len(w)) AS l, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+dw AS (SELECT rid, l, p, array_to_string(list_slice(w, p, p + l - 1), ' ') AS g FROM
+  (SELECT rid, w, l, unnest(range(1, len(w) - l + 2)) AS p FROM d, (SELECT DISTINCT l FROM iw) WHERE len(w) >= l)),
+h AS (SELECT rid, p, dw.l, item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.l = iw.l),
+c AS (SELECT rid, count(DISTINCT x) AS n_hit FROM (SELECT rid, unnest(range(p, p + l)) AS x FROM h) GROUP BY 1),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT rid, item_id FROM h) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
+"""
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of at most 2048 tokens in shared sequences."""
+    pieces = packing.encode_pieces(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return packing.pack(spark, pieces)
+
+
+def op8_wavelet_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to wavelet-matrix shards and read back from them."""
+    shards = token_output.write_shards(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_output.read_documents(spark, shards)
+
+
 QUERIES = {
     "op2_host_reputation": op2_host_reputation,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_wavelet_token_output": op8_wavelet_token_output,
     "op9_warc_archive": op9_warc_archive,
 }
 #: The rest, op4 included (DuckDB has no CRC-32), is tested against brute force in tests/llm.
-ORACLES = {"op2_host_reputation": OP2_SQL, "op9_warc_archive": OP9_SQL}
+ORACLES = {"op2_host_reputation": OP2_SQL, "op5_benchmark_decontamination": OP5_SQL, "op9_warc_archive": OP9_SQL}
