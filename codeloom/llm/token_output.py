@@ -50,8 +50,9 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
 
         gathered = 0
         for batch in batches:
-            for part, doc_id, text in zip(batch["part"], batch["doc_id"], batch["text"], strict=True):
-                own = encoder(tokenizer).encode([text])[0] + end
+            encoded = encoder(tokenizer).encode(batch["text"])
+            for part, doc_id, own in zip(batch["part"], batch["doc_id"], encoded, strict=True):
+                own += end
                 ids.append(None if doc_id is None else int(doc_id))
                 counts.append(len(own) // 4)
                 held.append(own)

@@ -1,6 +1,6 @@
 """Token shards as wavelet matrices: bit-planes with rank and select, one file image per shard.
 
-A shard's ids are replaced by their places in its sorted alphabet. Plane by plane, from the highest bit, the bits
+A shard's ids are replaced by their places in its alphabet, most frequent first, so high planes are nearly empty. Plane by plane, from the highest bit, the bits
 are packed and the sequence is stably parted into zeros and ones. With a count of ones before every block,
 ``access``, ``rank``, ``select`` and ``count`` touch one place per plane, without decoding the sequence.
 
@@ -60,9 +60,9 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         ids = np.asarray(ids, dtype=np.uint32)
-        present = np.bincount(ids) > 0 if len(ids) else np.zeros(0, bool)
-        alphabet = np.flatnonzero(present).astype(np.uint32)
-        places = np.zeros(len(present), np.uint32)
+        counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+        alphabet = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)].astype(np.uint32)
+        places = np.zeros(len(counts), np.uint32)
         places[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
         wide = max(1, (len(alphabet) - 1).bit_length()) if len(alphabet) else 0
         rest = places[ids].astype(np.uint16 if wide <= 16 else np.uint32) if len(ids) else ids
@@ -95,8 +95,8 @@ class WaveletMatrix:
         return int(self.alphabet[place])
 
     def _place(self, token: int) -> int | None:
-        at = int(np.searchsorted(self.alphabet, token))
-        return at if at < len(self.alphabet) and self.alphabet[at] == token else None
+        at = np.flatnonzero(self.alphabet == token)
+        return int(at[0]) if len(at) else None
 
     def rank(self, token: int, i: int) -> int:
         """Occurrences of the token before place i."""
