@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontamination, packing, reputation, sharding, token_output, warc
+from codeloom.llm import ann, decontamination, language_id, minhash, packing, quality, reputation, sharding, token_output, warc
 from codeloom.session import table
 
 
@@ -20,6 +20,11 @@ def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every vector whose id is divisible by 20."""
+    return ann.nearest(spark, table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url by rule, else by its host's posterior; outcomes are the labels of the documents of that id."""
     out = reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
@@ -73,6 +78,14 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
   CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN owner END AS refers_to FROM q
 """
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(spark, docs)
+    out = language_id.predict(spark, docs.select("doc_id", "text"), model)
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     out = decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -100,19 +113,35 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, pieces)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probabilities of being junk and toxic, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(spark, docs, table(spark, sf_dir, "labels"))
+    return quality.score(spark, docs.select("doc_id", "text"), model).select("doc_id", "p_junk", "p_toxic", "kept")
+
+
 def op8_wavelet_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written to wavelet-matrix shards and read back from them."""
     shards = token_output.write_shards(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_output.read_documents(spark, shards)
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents over sets of 4-word shingles."""
+    return minhash.classes(spark, table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 QUERIES = {
+    "op1_multi_index_hashing": op1_multi_index_hashing,
     "op2_host_reputation": op2_host_reputation,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
+    "op3_language_id": op3_language_id,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_wavelet_token_output": op8_wavelet_token_output,
     "op9_warc_archive": op9_warc_archive,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 #: The rest, op4 included (DuckDB has no CRC-32), is tested against brute force in tests/llm.
 ORACLES = {"op2_host_reputation": OP2_SQL, "op5_benchmark_decontamination": OP5_SQL, "op9_warc_archive": OP9_SQL}
