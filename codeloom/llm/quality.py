@@ -4,8 +4,8 @@ Labellers vote bad, good or nothing on a document; two tasks (junk and toxic) ha
 expectation-maximisation over the votes of a bounded sample estimates the prior and every labeller's table of
 P(vote | class), and so its accuracy, without trusting any of them; the table of human labels, which covers some documents,
 is one more labeller with an accuracy to be estimated, and is asked only in training. The posteriors are the soft
-targets of a linear scorer over hashed tokens: the words of the text, and the bucket that each measure of the text
-falls into. Tokens whose share among bad and good documents differs beyond ``Z`` standard errors, the ``TOKENS``
+targets of a linear scorer over hashed tokens: the words of the text, their first four and five bytes, and the bucket
+that each measure of the text falls into. Tokens whose share among bad and good documents differs beyond ``Z`` standard errors, the ``TOKENS``
 most telling ones, get weights by Newton's method with a quadratic penalty. Only text decides a document's score.
 
 The sample is ``SAMPLE`` documents chosen by a hash of the id, labelled ones first up to ``LABELLED`` of them. What
@@ -31,8 +31,8 @@ from codeloom.llm.common import prepare
 
 SAMPLE, LABELLED = 24_000, 18_000
 SLOTS = 1 << 20
-TOKENS = 256
-Z = 5.0
+TOKENS = 512
+Z = 4.5
 THRESHOLD = 0.5
 STORE = 300_000
 TASKS = ("junk", "toxic")
@@ -74,27 +74,21 @@ def measures(text: str) -> tuple[dict[str, float], set[bytes]]:
     return found, set(text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split())
 
 
-def _vote(value: float, good: float, bad: float) -> int:
-    """Good and bad are the bounds of either side; what is between is no vote."""
-    if good < bad:
-        return BAD if value >= bad else GOOD if value <= good else ABSTAIN
-    return BAD if value <= bad else GOOD if value >= good else ABSTAIN
+#: For each measure, from where its labeller calls a text junk, and up to where it looks like prose.
+BOUNDS = {"symbols": (0.08, 0.03), "capitals": (0.3, 0.15), "shouts": (0.15, 0.03), "bars": (0.1, 0.03), "repeats": (0.2, 0.05), "distinct": (0.15, 0.35)}
 
 
 def votes(found: dict[str, float], words: set[bytes]) -> tuple[list[int], list[int]]:
-    """The heuristic labellers' votes for junk and for toxic."""
-    insults = len(INSULTS & words)
-    junk = [
-        _vote(found["symbols"], 0.03, 0.08),
-        _vote(found["capitals"], 0.15, 0.3),
-        _vote(found["shouts"], 0.02, 0.2),
-        _vote(found["bars"], 0.05, 0.1),
-        _vote(found["repeats"], 0.05, 0.2),
-        _vote(found["distinct"], 0.45, 0.15),
-        BAD if len(words) == 0 else ABSTAIN,
-    ]
-    toxic = [BAD if insults else ABSTAIN, BAD if insults >= 2 else ABSTAIN, BAD if insults > 0.02 * max(1, len(words)) else GOOD if not insults and len(words) > 400 else ABSTAIN]
-    return junk, toxic
+    """The heuristic labellers' votes for junk and for toxic. A labeller that looks for one fault says nothing about
+    texts without it; whether a text is free of all of them is a labeller of its own."""
+    junk, prose = [], True
+    for name, (bad, good) in BOUNDS.items():
+        value = found[name]
+        low = bad < good  # a low value is the fault
+        junk.append(BAD if (value <= bad if low else value >= bad) else ABSTAIN)
+        prose &= value >= good if low else value <= good
+    junk.append(GOOD if prose and words else ABSTAIN)
+    return junk, [BAD if INSULTS & words else ABSTAIN]
 
 
 def buckets(found: dict[str, float]) -> list[bytes]:
@@ -118,7 +112,7 @@ _slots = _Slots()
 
 def tokens(text: str) -> tuple[np.ndarray, dict[str, float], set[bytes]]:
     found, words = measures(text)
-    every = [*words, *buckets(found)]
+    every = [*words, *{b"\x01" + w[:5] for w in words}, *{b"\x02" + w[:4] for w in words}, *buckets(found)]
     return np.unique(np.fromiter(map(_slots.__getitem__, every), np.int32, len(every))), found, words
 
 
@@ -144,7 +138,7 @@ def expect(vote: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray,
     return posterior, tables, prior
 
 
-def learn(rows: list[np.ndarray], target: np.ndarray, most: int = TOKENS, z: float = Z, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+def learn(rows: list[np.ndarray], target: np.ndarray, most: int = TOKENS, z: float = Z, penalty: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights by slot and the bias, from hashed tokens and soft targets."""
     n = len(rows)
     weights = np.zeros(SLOTS, np.float32)
