@@ -4,7 +4,7 @@ Labellers vote bad, good or nothing on a document; two tasks (junk and toxic) ha
 expectation-maximisation over the votes of a bounded sample estimates the prior and every labeller's table of
 P(vote | class), and so its accuracy, without trusting any of them; the table of human labels, which covers some documents,
 is one more labeller with an accuracy to be estimated, and is asked only in training. The posteriors are the soft
-targets of a linear scorer over hashed tokens: the words of the text, their first four and five bytes, and the bucket
+targets of a linear scorer over hashed tokens: the words of the text, their first four, five and seven bytes, and the bucket
 that each measure of the text falls into. Tokens whose share among bad and good documents differs beyond ``Z`` standard errors, the ``TOKENS``
 most telling ones, get weights by Newton's method with a quadratic penalty. Only text decides a document's score.
 
@@ -112,7 +112,7 @@ _slots = _Slots()
 
 def tokens(text: str) -> tuple[np.ndarray, dict[str, float], set[bytes]]:
     found, words = measures(text)
-    every = [*words, *{b"\x01" + w[:5] for w in words}, *{b"\x02" + w[:4] for w in words}, *buckets(found)]
+    every = [*words, *{b"\x01" + w[:5] for w in words}, *{b"\x02" + w[:4] for w in words}, *{b"\x03" + w[:7] for w in words}, *buckets(found)]
     return np.unique(np.fromiter(map(_slots.__getitem__, every), np.int32, len(every))), found, words
 
 
