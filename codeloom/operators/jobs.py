@@ -103,7 +103,7 @@ def usd(cost: Column | str) -> Column:
     return F.format_string("$%.6f", F.col(cost) if isinstance(cost, str) else cost)
 
 
-def summary_counts(graph: DataFrame) -> DataFrame:
+def summary_counts(graph: DataFrame, *keys: str) -> DataFrame:
     """Sizes of an exported graph's arrays."""
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    return graph.select(size("symbols").alias("symbols"), size("relationships").alias("relationships"), size("files").alias("files"), size("failed_files").alias("failed_files"), F.col("embeddings.count").alias("embeddings"))
+    return graph.select(*keys, size("symbols").alias("symbols"), size("relationships").alias("relationships"), size("files").alias("files"), size("failed_files").alias("failed_files"), F.col("embeddings.count").alias("embeddings"))
