@@ -158,9 +158,9 @@ def nearest(spark: SparkSession, vectors: DataFrame, id_column: str, vector_colu
     n_entries, n_asked = entries.count(), asked.count()
     blocks, query_blocks = max(1, -(-n_entries // BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
     left = asked.select(F.lit(True).alias("asked"), "id", "vector", F.lit(None).cast("array<long>").alias("ids"), F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("qb"))
-    left = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = left.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     right = entries.select(F.lit(False).alias("asked"), F.lit(None).cast("long").alias("id"), "vector", "ids", F.pmod(F.xxhash64("entry", F.lit(1)), F.lit(blocks)).alias("b"))
-    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long")).select("asked", "id", "vector", "ids", "qb", "b")
+    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))).select("asked", "id", "vector", "ids", "qb", "b")
     both = left.select("asked", F.col("id").cast("string").alias("id"), "vector", "ids", "qb", "b").union(right.select("asked", F.col("id").cast("string"), "vector", "ids", "qb", "b"))
 
     def search(block: pd.DataFrame) -> pd.DataFrame:
