@@ -5,8 +5,9 @@ encodes its documents and closes a shard image whenever ``SHARD_TOKENS`` have ga
 depend on its partition. Images are stored as rows of a Parquet table in the shared folder, which any store that
 Spark reaches can hold; an image by itself is a complete file (see ``wavelet``).
 
-The place of a document in the whole stream is its shard's start plus its place there; starts are sums over one
-(partition, shard, tokens) row per image, some 10 MB on the driver at 100 TB.
+The place of a document in the whole stream is its partition's start, plus the tokens of earlier shards of the
+partition, which a shard's row tells, plus its place in the shard; starts are sums over one row per partition.
+The number of partitions is ``spark.sql.shuffle.partitions``.
 
 Defined results: a null text is empty and holds the end id alone; a null doc_id sorts first; rows that repeat a
 doc_id follow each other in order of text; an empty table has no shard and no rows; other columns are ignored.
@@ -26,27 +27,24 @@ from codeloom.llm.common import materialise, prepare
 from codeloom.llm.tokens import encoder
 from codeloom.llm.wavelet import open_shard, pack_shard
 
-SHARD_TOKENS = 1 << 21
-#: Text bytes of one range partition.
-PARTITION_BYTES = 8 << 20
-SHARDS = "part int, seq int, docs long, tokens long, image binary"
+SHARD_TOKENS = 1 << 19
+SHARDS = "part int, seq int, before long, docs long, tokens long, image binary"
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The table of shard images of docs (doc_id, text), stored in the shared folder."""
     prepare(spark)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(1 + size // PARTITION_BYTES, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, counts, held, seq, part = [], [], [], 0, None
+        ids, counts, held, seq, part, before = [], [], [], 0, None, 0
 
         def close() -> pd.DataFrame:
             tokens = np.frombuffer(b"".join(held), "<u4")
             image = pack_shard(ids, counts, tokens)
-            return pd.DataFrame({"part": [part], "seq": [seq], "docs": [len(ids)], "tokens": [len(tokens)], "image": [image]})
+            return pd.DataFrame({"part": [part], "seq": [seq], "before": [before], "docs": [len(ids)], "tokens": [len(tokens)], "image": [image]})
 
         gathered = 0
         for batch in batches:
@@ -59,7 +57,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
                 gathered += counts[-1]
                 if gathered >= shard_tokens:
                     yield close()
-                    ids, counts, held, seq, gathered = [], [], [], seq + 1, 0
+                    ids, counts, held, seq, before, gathered = [], [], [], seq + 1, before + gathered, 0
         if ids:
             yield close()
 
@@ -70,17 +68,17 @@ def read_documents(spark: SparkSession, shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the images."""
     prepare(spark)
     starts, at = {}, 0
-    for r in shards.select("part", "seq", "tokens").orderBy("part", "seq").collect():
-        starts[r.part, r.seq] = at
+    for r in shards.groupBy("part").agg(F.sum("tokens").alias("tokens")).orderBy("part").collect():
+        starts[r.part] = at
         at += r.tokens
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part, seq, image in zip(batch["part"], batch["seq"], batch["image"], strict=True):
+            for part, before, image in zip(batch["part"], batch["before"], batch["image"], strict=True):
                 doc_ids, ends, matrix = open_shard(image)
                 tokens = matrix.decode().astype("<u4")
                 begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
                 crcs = [zlib.crc32(tokens[a:b].tobytes()) for a, b in zip(begins, ends, strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "start": begins + starts[part, seq], "n_tokens": ends - begins, "ids_crc32": crcs})
+                yield pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "start": begins + starts[part] + before, "n_tokens": ends - begins, "ids_crc32": crcs})
 
-    return shards.select("part", "seq", "image").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "before", "image").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -68,9 +68,14 @@ class WaveletMatrix:
         rest = places[ids].astype(np.uint16 if wide <= 16 else np.uint32) if len(ids) else ids
         planes = []
         for k in range(wide - 1, -1, -1):
-            bit = (rest >> k & 1).astype(bool)
+            bit = (rest & rest.dtype.type(1 << k)) != 0
             planes.append(Plane(np.packbits(bit, bitorder="little"), len(rest)))
-            rest = np.concatenate([rest[~bit], rest[bit]])
+            if k:  # the order below the last plane is not needed
+                parted = np.empty_like(rest)
+                zeros = planes[-1].zeros
+                parted[:zeros] = rest[np.flatnonzero(~bit)]
+                parted[zeros:] = rest[np.flatnonzero(bit)]
+                rest = parted
         return cls(alphabet, planes, len(ids))
 
     def decode(self) -> np.ndarray:
@@ -79,8 +84,8 @@ class WaveletMatrix:
         for level, plane in enumerate(reversed(self.planes)):
             bit = np.unpackbits(plane.bits, count=self.n, bitorder="little").view(bool)
             whole = np.empty_like(rest)
-            whole[~bit] = rest[: plane.zeros]
-            whole[bit] = rest[plane.zeros :] | rest.dtype.type(1 << level)
+            whole[np.flatnonzero(~bit)] = rest[: plane.zeros]  # places are faster than masks here
+            whole[np.flatnonzero(bit)] = rest[plane.zeros :] | rest.dtype.type(1 << level)
             rest = whole
         return self.alphabet[rest] if self.n else np.zeros(0, np.uint32)
 
