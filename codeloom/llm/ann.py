@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -55,6 +55,10 @@ class Model:
         missing = np.maximum(0.0, self.longest**2 - (vectors**2).sum(axis=1))
         return np.hstack([vectors, np.sqrt(np.where(missing > 1e-5 * self.longest**2, missing, 0.0))[:, None]])
 
+    def asked(self, queries: np.ndarray) -> np.ndarray:
+        """Queries with nothing in that dimension, so their products with lifted vectors are the plain ones."""
+        return np.hstack([queries, np.zeros((len(queries), 1))])
+
     def codes(self, lifted: np.ndarray) -> np.ndarray:
         return np.packbits((lifted - self.mean) @ self.rotations > 0, axis=1)
 
@@ -80,57 +84,70 @@ def fit(vectors: np.ndarray, k: int, rotations: int = ROTATIONS, rounds: int = 1
     dots = vectors[some] @ vectors.T
     dots[np.arange(len(some)), some] = -np.inf
     near = np.argsort(-dots, axis=1)[:, : min(k, max(1, len(vectors) - 1))]
-    apart = np.bitwise_count(codes[some][:, None, :] ^ codes[near]).sum(axis=2, dtype=np.int64)
+    apart = np.bitwise_count(model.codes(model.asked(vectors[some]))[:, None, :] ^ codes[near]).sum(axis=2, dtype=np.int64)
     model.radius = int(np.quantile(apart, HELD)) if apart.size else 0
     return model
 
 
-@lru_cache(maxsize=1)
+@cache
 def _weights() -> np.ndarray:
     return np.bitwise_count(np.arange(1 << SUBSTRING, dtype=np.uint32)).astype(np.uint8)
 
 
+@cache
+def ball(reach: int) -> float:
+    """Share of all substring values within ``reach`` bits of one."""
+    return float((_weights() <= reach).mean())
+
+
 class Index:
-    """Multi-index of one block: for every substring, its distinct values and their members."""
+    """Multi-index of one block: for every substring, its distinct values and their members. Tables are made when a
+    radius is first probed."""
 
     def __init__(self, codes: np.ndarray):
-        if codes.shape[1] % 2:
-            codes = np.hstack([codes, np.zeros((len(codes), 1), np.uint8)])
-        self.codes = codes
-        self.parts = np.ascontiguousarray(codes).view(np.uint16)
-        self.tables = []
-        for column in self.parts.T:
+        short = -codes.shape[1] % 8
+        self.codes = np.pad(codes, ((0, 0), (0, short)))
+        self.substrings = -(-codes.shape[1] // 2)
+        self.words = np.ascontiguousarray(np.ascontiguousarray(self.codes).view(np.uint64).T)  # words x rows
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def _padded(self, query: np.ndarray) -> np.ndarray:
+        return np.pad(query, (0, self.codes.shape[1] - len(query)))
+
+    def distances(self, query: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        query = self._padded(query).view(np.uint64)
+        out = np.zeros(self.words[0][rows].shape, np.uint16)
+        for word, own in zip(self.words, query, strict=True):
+            out += np.bitwise_count(word[rows] ^ own)
+        return out
+
+    def _build(self) -> None:
+        for column in np.ascontiguousarray(self.codes).view(np.uint16).T[: self.substrings]:
             order = np.argsort(column, kind="stable")
             values, starts = np.unique(column[order], return_index=True)
             self.tables.append((values, np.append(starts, len(order)), order))
-        short = -len(codes[0]) % 8 if len(codes) else 0
-        self.words = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, short)))).view(np.uint64)
 
-    def distances(self, query: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
-        query = np.pad(query, (0, self.words.shape[1] * 8 - len(query))).view(np.uint64)
-        return np.bitwise_count(self.words[rows] ^ query).sum(axis=1, dtype=np.int64)
-
-    def within(self, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows within the radius, and their distances."""
-        padded = np.append(query, np.zeros(self.codes.shape[1] - len(query), np.uint8))
-        reach = radius // len(self.tables)
-        touched, hits = 0, []
-        for value, (values, starts, order) in zip(padded.view(np.uint16), self.tables, strict=True):
-            near = np.flatnonzero(_weights()[values ^ value] <= reach)
-            touched += int((starts[near + 1] - starts[near]).sum())
-            if touched > len(self.codes):
-                break
-            hits += [order[starts[i] : starts[i + 1]] for i in near]
-        rows = np.arange(len(self.codes)) if touched > len(self.codes) else np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
-        apart = self.distances(query, rows)
-        return rows[apart <= radius], apart[apart <= radius]
+    def probe(self, query: np.ndarray, radius: int) -> np.ndarray:
+        """Members of every bucket whose value is within the pigeonhole reach of the query's, in any substring."""
+        if not self.tables:
+            self._build()
+        reach, hits = radius // self.substrings, []
+        for value, (values, starts, order) in zip(self._padded(query).view(np.uint16), self.tables, strict=False):
+            hits += [order[starts[i] : starts[i + 1]] for i in np.flatnonzero(_weights()[values ^ value] <= reach)]
+        return np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
 
     def search(self, query: np.ndarray, radius: int, least: int) -> np.ndarray:
-        rows, apart = self.within(query, radius)
-        if len(rows) >= min(least, len(self.codes)):
-            return rows
+        """All rows within the radius, or within a larger one that holds ``least`` rows. Probes are expected to touch
+        substrings x ball of the rows; from one touch a row on, all codes are compared instead."""
+        least = min(least, len(self.codes))
+        if self.substrings * ball(radius // self.substrings) < 1:
+            rows = self.probe(query, radius)
+            rows = rows[self.distances(query, rows) <= radius]
+            if len(rows) >= least:
+                return rows
         apart = self.distances(query)
-        return np.flatnonzero(apart <= np.partition(apart, min(least, len(apart)) - 1)[min(least, len(apart)) - 1])
+        rows = np.flatnonzero(apart <= radius)
+        return rows if len(rows) >= least else np.flatnonzero(apart <= np.partition(apart, least - 1)[least - 1])
 
 
 def nearest(spark: SparkSession, vectors: DataFrame, id_column: str, vector_column: str, queries: F.Column, k: int = 20) -> DataFrame:
@@ -172,14 +189,13 @@ def nearest(spark: SparkSession, vectors: DataFrame, id_column: str, vector_colu
             index = Index(own.codes(own.lifted(base)))
             members = held["ids"].tolist()
             wanted = np.array(asks["vector"].tolist(), dtype=np.float64)
-            for name, vector, code in zip(asks["id"], wanted, own.codes(own.lifted(wanted)), strict=True):
+            for name, vector, code in zip(asks["id"], wanted, own.codes(own.asked(wanted)), strict=True):
                 name = int(name)
                 found = index.search(code, own.radius, max(LEAST, 2 * k))
                 scores = (base[found] * vector).sum(axis=1)
-                best = found[np.argsort(-scores, kind="stable")[: k + 1]] if len(found) > k + 1 else found
-                edge = np.sort(scores)[-min(len(found), k + 1)]
-                best = found[scores >= edge]
-                rows = sorted((-s, m) for r, s in zip(best, scores[scores >= edge], strict=True) for m in members[r] if m != name)[:k]
+                edge = np.partition(scores, -min(len(found), k + 1))[-min(len(found), k + 1)]
+                best = scores >= edge
+                rows = sorted((-s, m) for r, s in zip(found[best].tolist(), scores[best].tolist(), strict=True) for m in members[r] if m != name)[:k]
                 out += [(name, m, -s) for s, m in rows]
         return pd.DataFrame(out, columns=["query_id", "vec", "score"])
 

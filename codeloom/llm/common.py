@@ -38,6 +38,11 @@ def materialise(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
+    """A stored, narrow table as a broadcast side where it has at most so many rows, else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def prepare(spark: SparkSession) -> None:
     """To be called by operators that run Python on executors."""
     ship(spark)

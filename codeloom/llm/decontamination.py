@@ -2,8 +2,9 @@
 
 Any window of W item words wholly covers at least one of the item's aligned blocks of (W + 1) // 2 words, so the
 rarest word of every block is an anchor. Anchors, their blocks and their items' words form the test-side hash
-table, broadcast when the benchmark's text is within ``BROADCAST_BYTES`` and joined by shuffle beyond it. A scan
-of the training words looks each word up, and the block around it must match in the same join. Each hit is then
+table, which is broadcast; a benchmark whose text is over ``BROADCAST_BYTES`` is dealt by item into parts that are not,
+with a scan of the documents for each. A scan of the training words looks each word up, and the block around it must
+match in the same join. Each hit is then
 verified: document and item are laid over each other and every run of W equal words gives a span. So one
 occurrence of an item costs a few rows, however many windows it has, and no window is ever written out.
 
@@ -19,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ascii_lower
+from codeloom.llm.common import ascii_lower, materialise, small_or_shuffled
 
 WINDOW = 13
 #: What separates words once A-Z are lower-cased: everything but [^\x00-\x2F\x3A-\x60\x7B-\x7F].
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_BYTES = 32 << 20
+#: Up to so many contaminated documents (40 bytes each) are broadcast to the scan that removes them.
+SMALL_KEYS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -50,10 +53,10 @@ def anchors(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def _spans(doc_words: str, item: str, start: Column, need: Column) -> Column:
-    """[from, to) document places of every run of at least ``need`` equal words."""
-    places = F.sequence(F.lit(0), F.size(item))
-    same = F.transform(places, lambda i: F.coalesce(F.get(F.col(item), i) == F.get(F.col(doc_words), (start + i).cast("int")), F.lit(False)))
+def _spans(item_part: Column, doc_part: Column, start: Column, need: Column) -> Column:
+    """[from, to) document places of every run of at least ``need`` equal words of two parts laid over each other, the
+    first of which is at document place ``start``."""
+    same = F.concat(F.zip_with(item_part, doc_part, lambda a, b: F.coalesce(a == b, F.lit(False))), F.array(F.lit(False)))
     zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("run"), F.array().cast("array<struct<a:int,b:int>>").alias("found"))
 
     def step(acc: Column, equal: Column) -> Column:
@@ -71,21 +74,37 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda acc: acc["n"])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Per document: doc_id, text_key, n_words, spans (array of [a, b) word places), items, n_hit, n_items,
-    items_sha256 and contaminated. ``text_key`` is the MD5 of the text."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    table = anchors(benchmark, window)
-    source = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"), words(F.col("text")).alias("doc"))
+def _hits(source: DataFrame, table: DataFrame) -> DataFrame:
+    """One row per document (``head``) and one per anchor that is met, with the spans around it."""
     # The empty string in front, which is no word, gives every document exactly one row of its own.
     placed = source.select("doc_id", "text_key", "doc", F.size("doc").cast("long").alias("n_words"), F.posexplode_outer(F.array_prepend("doc", F.lit(""))).alias("pos", "doc_word"))
     start = F.col("pos") - 1 - F.col("at")
     around = start + F.col("first")
     block = F.when(around >= 0, F.slice("doc", around + 1, F.size("part")))
     fits = (F.col("doc_word") == F.col("word")) & (block == F.col("part"))
-    met = placed.join(F.broadcast(table) if size <= broadcast_bytes else table, fits, "left").where("word is not null or pos = 0")
-    hit = F.when(F.col("word").isNotNull(), F.struct("item_id", _spans("doc", "item", start, F.col("need")).alias("spans")))
-    found = met.select("doc_id", "text_key", "n_words", (F.col("pos") == 0).alias("head"), hit.alias("hit"))
+    met = placed.join(F.broadcast(table), fits, "left").where("word is not null or pos = 0")
+    # Only the words that the item covers leave the scan; the partition id keeps this projection from being merged into
+    # the next, which is not compiled and would be handed the whole document with every row.
+    skipped = F.greatest(-start, F.lit(0))
+    real = F.col("word").isNotNull() & (F.spark_partition_id() >= 0)
+    cut = met.select(
+        "doc_id", "text_key", "n_words", (F.col("pos") == 0).alias("head"), "item_id", "need", (start + skipped).alias("start"),
+        F.when(real, F.slice("item", skipped + 1, F.size("item"))).alias("item_part"),
+        F.when(real, F.slice("doc", start + skipped + 1, F.size("item") - skipped)).alias("doc_part"),
+    )
+    hit = F.when(F.col("item_id").isNotNull(), F.struct("item_id", _spans(F.col("item_part"), F.col("doc_part"), F.col("start"), F.col("need")).alias("spans")))
+    return cut.select("doc_id", "text_key", "n_words", "head", hit.alias("hit"))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Per distinct document: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated, items, spans (array of
+    [a, b) word places) and copies. ``text_key`` is the MD5 of the text."""
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    table, parts = anchors(benchmark, window), max(1, -(-size // broadcast_bytes))
+    source = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"), words(F.col("text")).alias("doc"))
+    found = _hits(source, table if parts == 1 else table.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(parts)) == 0))
+    for k in range(1, parts):
+        found = found.union(_hits(source, table.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(parts)) == k)).where("hit is not null").withColumn("head", F.lit(False)))
     per_doc = found.groupBy("doc_id", "text_key").agg(
         F.max("n_words").alias("n_words"), F.collect_set(F.when(F.size("hit.spans") > 0, F.col("hit"))).alias("hits"), F.count_if("head").cast("int").alias("copies")
     )
@@ -107,6 +126,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated ones, with all their columns."""
     bad = scan(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    bad = small_or_shuffled(materialise(docs.sparkSession, bad, "contaminated"), SMALL_KEYS)
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("_key")), "left_anti")
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialise, prepare
+from codeloom.llm.common import materialise, prepare, small_or_shuffled
 from codeloom.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -41,6 +41,8 @@ SET_BLOCK, SET_SHINGLES = 256, 400_000
 #: Signature agreement below which a pair can't be similar: five standard deviations under the threshold.
 MARGIN = 5.0
 STORE = 300_000
+#: Up to so many ids (16 MB) are broadcast to the scan of the texts; more are joined by a shuffle.
+SMALL_IDS = 1_000_000
 _C = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -225,7 +227,7 @@ def confirmed(spark: SparkSession, docs: DataFrame, nodes: DataFrame, roots: Dat
     place = F.greatest(F.floor((F.row_number().over(order) - 1) / SET_BLOCK), F.floor((F.sum("n").over(order) - F.col("n")) / SET_SHINGLES))
     ranked = members.withColumn("block", place).withColumn("blocks", F.max("block").over(Window.partitionBy("root")) + 1)
     ranked = materialise(spark, ranked.select("node", "root", "rep", "block", "blocks"), "minhash-members")
-    wanted = ranked.select(F.col("rep").alias("_rep")).distinct()
+    wanted = small_or_shuffled(materialise(spark, ranked.select(F.col("rep").alias("_rep")).distinct(), "minhash-wanted"), SMALL_IDS)
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
     full = texts.mapInPandas(sets, "node binary, shingles binary").join(ranked.drop("rep"), "node")
     paired = _pair_rows(full, F.col("block"), F.col("blocks"), [F.col("root")])
@@ -253,6 +255,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int
     to one; documents without an id or without words are no copies and stay."""
     found = materialise(spark, classes(spark, docs, width, percent), "minhash-classes")
     lost = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    lost = small_or_shuffled(materialise(spark, lost, "minhash-lost"), SMALL_IDS)
     left = docs.join(lost, docs["doc_id"] == F.col("_id"), "left_anti")
     n, distinct = found.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()
     if n > distinct:

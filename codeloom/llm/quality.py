@@ -3,7 +3,7 @@
 Labellers vote bad, good or nothing on a document; two tasks (junk and toxic) have their own. For each task an
 expectation-maximisation over the votes of a bounded sample estimates the prior and every labeller's table of
 P(vote | class), and so its accuracy, without trusting any of them; the table of human labels, which covers some documents,
-is one more labeller with an accuracy to be estimated, and is asked only in training. The posteriors are the soft
+is one more labeller, whose accuracy is estimated above a floor and which is asked only in training. The posteriors are the soft
 targets of a linear scorer over hashed tokens: the words of the text, their first four, five and seven bytes, and the bucket
 that each measure of the text falls into. Tokens whose share among bad and good documents differs beyond ``Z`` standard errors, the ``TOKENS``
 most telling ones, get weights by Newton's method with a quadratic penalty. Only text decides a document's score.
@@ -29,14 +29,19 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import prepare
 
-SAMPLE, LABELLED = 24_000, 18_000
+SAMPLE, LABELLED = 9_000, 7_500
 SLOTS = 1 << 20
 TOKENS = 512
 Z = 4.5
-THRESHOLD = 0.5
+#: Probabilities from which a document is rejected. Few of the toxic have a vote at all, so their posteriors run low.
+THRESHOLDS = (0.5, 0.25)
 STORE = 300_000
+#: Documents counted together while learning.
+CHUNK = 500
 TASKS = ("junk", "toxic")
 ABSTAIN, GOOD, BAD = 0, 1, 2
+#: Largest share of wrong votes that is believed of the human labels.
+TRUSTED_ERROR = 0.02
 
 #: Insults in English that the lexicon labellers look for.
 INSULTS = frozenset(b"clown disgusting dumb idiot idiots imbecile loser losers moron morons pathetic scum stupid trash worthless".split())
@@ -116,18 +121,24 @@ def tokens(text: str) -> tuple[np.ndarray, dict[str, float], set[bytes]]:
     return np.unique(np.fromiter(map(_slots.__getitem__, every), np.int32, len(every))), found, words
 
 
-def expect(vote: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
+def expect(vote: np.ndarray, rounds: int = 100, trusted: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, float]:
     """EM over votes (documents x labellers): posterior of bad, P(vote | class) as labellers x 2 x 3, and the prior.
-    Starts from the share of bad among the votes given, so that class 1 is the one that labellers call bad."""
+    Starts from the share of bad among the votes given, so that class 1 is the one that labellers call bad. A trusted
+    labeller is wrong in at most ``TRUSTED_ERROR`` of its votes, so one that alone sees a kind of document is heard."""
     n, m = vote.shape
-    bad, given = (vote == BAD).sum(axis=1), (vote != ABSTAIN).sum(axis=1)
-    posterior = np.where(given > 0, np.where(bad > 0, 0.5 + 0.49 * bad / np.maximum(1, given), 0.02), 0.1)
+    bad, n_votes = (vote == BAD).sum(axis=1), (vote != ABSTAIN).sum(axis=1)
+    posterior = np.where(n_votes > 0, np.where(bad > 0, 0.5 + 0.49 * bad / np.maximum(1, n_votes), 0.02), 0.1)
     one_hot = (vote[:, :, None] == np.arange(3)).astype(float)
     tables, prior = np.zeros((m, 2, 3)), 0.5
     for _ in range(rounds):
         weight = np.stack([1 - posterior, posterior], axis=1)
         tables = np.einsum("nc,nmv->mcv", weight, one_hot) + 0.5
         tables /= tables.sum(axis=2, keepdims=True)
+        for k in trusted:
+            for cls, wrong, right in ((0, BAD, GOOD), (1, GOOD, BAD)):
+                given = tables[k, cls, wrong] + tables[k, cls, right]
+                tables[k, cls, wrong] = min(tables[k, cls, wrong], TRUSTED_ERROR * given)
+                tables[k, cls, right] = given - tables[k, cls, wrong]
         prior = float(np.clip(posterior.mean(), 1e-4, 1 - 1e-4))
         logs = np.einsum("nmv,mcv->nc", one_hot, np.log(tables)) + np.log([1 - prior, prior])
         new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
@@ -142,9 +153,12 @@ def learn(rows: list[np.ndarray], target: np.ndarray, most: int = TOKENS, z: flo
     """Weights by slot and the bias, from hashed tokens and soft targets."""
     n = len(rows)
     weights = np.zeros(SLOTS, np.float32)
-    flat = np.concatenate(rows)
-    of = np.repeat(np.arange(n), [len(r) for r in rows])
-    total, bad = np.bincount(flat, minlength=SLOTS), np.bincount(flat, weights=target[of], minlength=SLOTS)
+    total, bad = np.zeros(SLOTS), np.zeros(SLOTS)
+    for at in range(0, n, CHUNK):
+        some = rows[at : at + CHUNK]
+        flat = np.concatenate(some)
+        total += np.bincount(flat, minlength=SLOTS)
+        bad += np.bincount(flat, weights=np.repeat(target[at : at + CHUNK], [len(r) for r in some]), minlength=SLOTS)
     n_bad = max(target.sum(), 1e-9)
     n_good = max(n - n_bad, 1e-9)
     p, q = bad / n_bad, (total - bad) / n_good
@@ -157,15 +171,16 @@ def learn(rows: list[np.ndarray], target: np.ndarray, most: int = TOKENS, z: flo
     place[chosen] = np.arange(len(chosen))
     x = np.zeros((n, len(chosen) + 1), np.float32)
     x[:, -1] = 1
-    held = place[flat] >= 0
-    x[of[held], place[flat][held]] = 1
+    for i, row in enumerate(rows):
+        own = place[row]
+        x[i, own[own >= 0]] = 1
     w = np.zeros(x.shape[1])
     ridge = np.full(len(w), penalty)
     ridge[-1] = 1e-3
     for _ in range(30):
-        guess = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (guess - target) + ridge * w
-        hessian = (x * (guess * (1 - guess))[:, None]).T @ x + np.diag(ridge)
+        guess = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30).astype(np.float64)))
+        gradient = x.T @ (guess - target).astype(np.float32) + ridge * w
+        hessian = (x * (guess * (1 - guess)).astype(np.float32)[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(hessian, gradient)
         w -= step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-4:
@@ -218,11 +233,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None,
     rows = picked.mapInPandas(hashed, "slots binary, junk binary, toxic binary").toPandas()
     if not len(rows):
         return Model(np.zeros((2, SLOTS), np.float32), np.array([-9.0, -9.0]), {})
-    slots_ = [np.frombuffer(s, np.int32) for s in rows["slots"]]
+    slots_ = [np.frombuffer(s, np.int32) for s in rows.pop("slots")]
     weights, bias, accuracy = [], [], {}
     for task in TASKS:
         vote = np.frombuffer(b"".join(rows[task]), np.uint8).reshape(len(rows), -1)
-        posterior, tables, prior = expect(vote)
+        posterior, tables, prior = expect(vote, trusted=(vote.shape[1] - 1,))
         right = (1 - prior) * tables[:, 0, GOOD] + prior * tables[:, 1, BAD]
         accuracy[task] = (right / np.maximum(1e-9, 1 - (1 - prior) * tables[:, 0, ABSTAIN] - prior * tables[:, 1, ABSTAIN])).tolist()
         w, b = learn(slots_, posterior)
@@ -231,7 +246,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None,
     return Model(np.stack(weights), np.array(bias), accuracy)
 
 
-def _judged(spark: SparkSession, docs: DataFrame, model: Model, threshold: float) -> tuple[DataFrame, F.Column]:
+def _judged(spark: SparkSession, docs: DataFrame, model: Model, thresholds: tuple[float, float]) -> tuple[DataFrame, F.Column]:
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
 
@@ -242,16 +257,16 @@ def _judged(spark: SparkSession, docs: DataFrame, model: Model, threshold: float
 
     judge.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     found = docs.withColumn("_judged", F.pandas_udf(judge, "p_junk double, p_toxic double")("text"))
-    return found, (F.col("_judged.p_junk") < threshold) & (F.col("_judged.p_toxic") < threshold)
+    return found, (F.col("_judged.p_junk") < thresholds[0]) & (F.col("_judged.p_toxic") < thresholds[1])
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, model: Model, thresholds: tuple[float, float] = THRESHOLDS) -> DataFrame:
     """doc_id, p_junk, p_toxic and kept."""
-    found, kept = _judged(spark, docs.select("doc_id", "text"), model, threshold)
+    found, kept = _judged(spark, docs.select("doc_id", "text"), model, thresholds)
     return found.select("doc_id", "_judged.p_junk", "_judged.p_toxic", kept.alias("kept"))
 
 
-def keep(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+def keep(spark: SparkSession, docs: DataFrame, model: Model, thresholds: tuple[float, float] = THRESHOLDS) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    found, kept = _judged(spark, docs, model, threshold)
+    found, kept = _judged(spark, docs, model, thresholds)
     return found.where(kept).select(*docs.columns)
