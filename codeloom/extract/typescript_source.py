@@ -340,8 +340,12 @@ class Scanner:
         if not (self.is_(i - 1, b".") or self.is_(i - 1, b"?.")):
             return None if self.is_(i - 1, b"new") else (self.tokens[i].start, end, target, {"call_form": "direct"})
         first = self._operand(i - 2)
-        if first is None or self.is_(first - 1, b"new"):
+        if first is None:
             return None
+        if self.is_(first - 1, b"new"):
+            if not any(self.is_(k, b"(") for k in range(first, i - 1)):
+                return None  # the constructor itself
+            first -= 1
         return (self.tokens[first].start, end, target, {"call_form": "method", "receiver": self.text(first, i - 1)})
 
     def _operand(self, i: int) -> int | None:

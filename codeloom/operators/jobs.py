@@ -67,9 +67,9 @@ def last_value(logs: DataFrame, pattern: str, name: str = "value", group: int =
 
 
 def usage(logs: DataFrame) -> DataFrame:
-    """Tokens and cost per job as the index command prints them."""
-    tokens = last_value(logs, r"(?i)\btokens?\s*[:=]\s*([0-9][0-9,]*)", "tokens")
-    cost = last_value(logs, r"(?i)\bcost(?:_usd)?\s*[:=]\s*\$?([0-9]+(?:\.[0-9]+)?)", "cost")
+    """Last tokens and cost per job, in any of the forms in which index commands print them."""
+    tokens = last_value(logs, r"(?i)tokens(?: used)?\s*[:=]\s*([0-9][0-9,]*)", "tokens")
+    cost = last_value(logs, r"(?i)cost(?:_usd| \(USD\))?\s*[:=]\s*\$?([0-9]+(?:\.[0-9]+)?)", "cost")
     both = tokens.join(cost, "job_id", "full_outer")
     return both.select("job_id", F.regexp_replace("tokens", ",", "").cast("long").alias("total_tokens"), F.col("cost").cast("double").alias("cost_usd"))
 
@@ -86,12 +86,23 @@ def log_tail(logs: DataFrame, n: int = LOG_LINES) -> DataFrame:
     return logs.withColumn("_r", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("seq")))).where(F.col("_r") <= n).drop("_r")
 
 
+#: Ledger columns and the names that the API gives them.
+API_NAMES = {
+    "id": "id", "repo_url": "repoUrl", "replace": "replace", "status": "status", "queue_position": "queuePosition", "started_at": "startedAt", "finished_at": "finishedAt", "exit_code": "exitCode", "clone_path": "clonePath",
+    "output_path": "outputPath", "error": "error", "error_detail": "errorDetail", "embedding_prompt_tokens": "embeddingPromptTokens", "embedding_total_tokens": "embeddingTotalTokens",
+    "embedding_estimated_cost_usd": "embeddingEstimatedCostUsd", "pid": "pid", "created_at": "createdAt",
+}
+SUMMARY = (
+    "symbol_count BIGINT, file_count BIGINT, languages MAP<STRING, BIGINT>, commit_sha STRING, embedding_provider STRING, embedding_model STRING, "
+    "embedding_prompt_tokens BIGINT, embedding_total_tokens BIGINT, embedding_estimated_cost_usd DOUBLE"
+)
+
+
 def record(jobs: DataFrame) -> DataFrame:
-    """The ledger row as the API shows it; a summary that is no JSON object is null."""
-    schema = "symbols INT, relationships INT, files INT, failed_files INT, embeddings INT"
-    return jobs.select(
-        "id", "repo_url", "status", F.from_json("summary_json", schema, {"mode": "PERMISSIVE"}).alias("summary"), F.coalesce("embedding_total_tokens", F.lit(0)).alias("total_tokens"), "embedding_estimated_cost_usd", "created_at"
-    )
+    """Ledger rows as the API shows them; a summary that is no JSON object is null."""
+    parsed = F.from_json("summary_json", SUMMARY + ", _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    named = [F.coalesce("replace", F.lit(False)).alias("replace") if c == "replace" else F.col(c).alias(n) for c, n in API_NAMES.items()]
+    return jobs.withColumn("_summary", parsed).select(*named, F.when(F.col("_summary._corrupt").isNull(), F.col("_summary").dropFields("_corrupt")).alias("summary"))
 
 
 def duration_seconds(started: Column | str, finished: Column | str) -> Column:

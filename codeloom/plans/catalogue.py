@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import chunks, vectors
 from codeloom.functions import identity as ident
 from codeloom.operators import graph, jobs, ranking
+from codeloom.schemas import JOBS
 from codeloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,7 +69,7 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     status = F.create_map(*[F.lit(x) for x in ("view", "succeeded", "click", "queued", "signup", "running", "purchase", "cancelled", "error", "failed")])
     return e.select(
-        F.concat(F.lit("j"), F.col("event_id")).alias("id"), F.concat(F.lit("https://git.example/u/r"), F.col("user_id") % 50, F.lit(".git")).alias("repo_url"), F.element_at(status, "event_type").alias("status"),
+        F.concat(F.lit("j"), F.col("event_id")).alias("id"), F.concat(F.lit("https://git.example/u/r"), F.col("user_id") % 50, F.lit(".git")).alias("repo_url"), F.element_at(status, F.col("event_type")).alias("status"),
         F.get_json_object("props", "$.k").cast("long").alias("embedding_total_tokens"), F.round("value", 4).alias("embedding_estimated_cost_usd"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"), "props", "ts", "event_id", "user_id",
     )
 
@@ -580,12 +581,14 @@ def latest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.latest_jobs(_jobs(spark, sf_dir)).select("id", "status", "created_at")
 
 
-@query("job_record", f"""WITH {_JOBS_SQL} SELECT id, repo_url, status, CASE WHEN event_id % 3 <> 0 THEN embedding_total_tokens::INT END AS summary_symbols, coalesce(embedding_total_tokens, 0) AS total_tokens, embedding_estimated_cost_usd FROM jobs""")
+@query("job_record", f"""WITH {_JOBS_SQL} SELECT id, repo_url AS "repoUrl", status, false AS "replace", CASE WHEN event_id % 3 <> 0 THEN embedding_total_tokens END AS symbols, embedding_total_tokens AS "embeddingTotalTokens", created_at AS "createdAt" FROM jobs""")
 def job_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the summaries is broken JSON."""
     j = _jobs(spark, sf_dir)
-    summary = F.when(F.col("event_id") % 3 != 0, F.to_json(F.struct(F.col("embedding_total_tokens").alias("symbols")))).otherwise("{broken")
-    out = jobs.record(j.withColumn("summary_json", summary))
-    return out.select("id", "repo_url", "status", F.col("summary.symbols").alias("summary_symbols"), "total_tokens", "embedding_estimated_cost_usd")
+    summary = F.when(F.col("event_id") % 3 != 0, F.to_json(F.struct(F.col("embedding_total_tokens").alias("symbol_count")))).otherwise("{broken")
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in JOBS.fields if f.name not in (*j.columns, "summary_json")]
+    out = jobs.record(j.select("*", *missing, summary.alias("summary_json")))
+    return out.select("id", "repoUrl", "status", "replace", F.col("summary.symbol_count").alias("symbols"), "embeddingTotalTokens", "createdAt")
 
 
 @query("job_duration", "SELECT event_id, round(date_diff('microsecond', ts, ts + INTERVAL 1 SECOND * (event_id % 1000)) / 1e6, 3) AS seconds, format('${:.6f}', (event_id % 1000) / 8.0) AS cost FROM events")
@@ -643,3 +646,88 @@ def class_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("enclosing_class_id"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("m"), F.col("o_orderkey")).alias("name"), params.alias("parameters"), F.lit(False).alias("is_async"), F.lit("int").alias("return_type"))
     lists = graph.class_methods(classes, methods, chunks.method_line())
     return classes.join(lists, "id").select(F.col("id").alias("c_custkey"), chunks.class_chunk().alias("chunk"))
+
+
+# ---------------------------------------------------------------- extraction, on code made from the tables
+
+
+def _code(spark: SparkSession, sf_dir: str, language: str, template: str) -> DataFrame:
+    """One file per customer; its name and segment vary the code."""
+    c = table(spark, sf_dir, "customer")
+    ext = {"python": ".py", "go": ".go", "typescript": ".ts"}[language]
+    text = F.replace(F.replace(F.lit(template), F.lit("@K"), F.col("c_custkey").cast("string")), F.lit("@S"), F.initcap("c_mktsegment"))
+    path = F.concat(F.lit("src/f"), F.col("c_custkey"), F.lit(ext))
+    return c.select(F.lit("made").alias("repo_name"), path.alias("path"), F.lit(language).alias("language"), text.cast("binary").alias("content"), F.lit(None).cast("string").alias("error"))
+
+
+PYTHON_CODE = '''"""Module @K."""
+from base import Root as R
+LIMIT: int = @K
+
+class @SBase(R):
+    def run(self, n: int = 1) -> int:
+        """Run it."""
+        if n and n > @K:
+            return self.walk(n)
+        return helper(n)
+
+def helper(n):
+    return R.of(n)
+'''
+GO_CODE = """package made@K
+
+import "fmt"
+
+// @SBase is made.
+type @SBase struct {
+	Root
+}
+
+func (b *@SBase) Run(n, m int) error {
+	if n > 1 && m > 2 {
+		return fmt.Errorf("x")
+	}
+	return nil
+}
+"""
+TYPESCRIPT_CODE = """import { Root } from './root';
+/** Made. */
+export class @SBase extends Root {
+  async run(n: number): Promise<void> { if (n) { this.walk(n); } }
+}
+export const LIMIT: number = @K;
+"""
+
+
+def _extracted(language: str, template: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from codeloom.extract import udtf
+
+        symbols = udtf.symbols_of(udtf.extract(_code(spark, sf_dir, language, template)))
+        return symbols.select("id", "kind", "qualified_name", "location.byte_start", "location.byte_end", "body_hash", "signature", "complexity")
+
+    run.__doc__ = f"Symbols of one made {language} file per customer."
+    return run
+
+
+for _language, _template in (("python", PYTHON_CODE), ("go", GO_CODE), ("typescript", TYPESCRIPT_CODE)):
+    query(f"extract_{_language}")(_extracted(_language, _template))
+
+
+@query("function_chunk")
+def function_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of everything embeddable in the made Python files."""
+    from codeloom.extract import udtf
+
+    extracted = udtf.extract(_code(spark, sf_dir, "python", PYTHON_CODE))
+    return chunks.build(udtf.symbols_of(extracted), udtf.relationships_of(extracted))
+
+
+@query("graph_json")
+def graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships of the made Python files as the export orders them."""
+    from codeloom.extract import udtf
+    from codeloom.plans.export import ordered_relationships
+
+    extracted = udtf.extract(_code(spark, sf_dir, "python", PYTHON_CODE))
+    return ordered_relationships(udtf.relationships_of(extracted)).select("source_id", "kind", "is_resolved", "target_id", "target_name")
