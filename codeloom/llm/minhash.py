@@ -40,7 +40,7 @@ BLOCK = 1024
 SET_BLOCK, SET_SHINGLES = 256, 400_000
 #: Signature agreement below which a pair can't be similar: five standard deviations under the threshold.
 MARGIN = 5.0
-STORE = 300_000
+STORE = 200_000
 #: Up to so many ids (16 MB) are broadcast to the scan of the texts; more are joined by a shuffle.
 SMALL_IDS = 1_000_000
 _C = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]

@@ -35,7 +35,7 @@ TOKENS = 512
 Z = 4.5
 #: Probabilities from which a document is rejected. Few of the toxic have a vote at all, so their posteriors run low.
 THRESHOLDS = (0.5, 0.25)
-STORE = 300_000
+STORE = 150_000
 #: Documents counted together while learning.
 CHUNK = 500
 TASKS = ("junk", "toxic")
