@@ -283,6 +283,12 @@ def test_dense_ids_over_many_partitions(spark):
     df = spark.createDataFrame([(f"k{i:05}",) for i in range(1000)], "m string").repartition(7)
     rows = ranking.dense_ids(df, "m", partitions=5).orderBy("m").collect()
     assert [r["embedding_id"] for r in rows] == list(range(1000))
+    odd = spark.createDataFrame([(None, 1), ("a", None), ("a", 2), ("a", 2), ("b", 0)], "k string, n int").withColumn("key", F.struct("k", "n"))
+    got = ranking.dense_ids(odd, "key", "place", partitions=4).orderBy("place").collect()
+    assert [(r["place"], r["k"], r["n"]) for r in got] == [(0, None, 1), (1, "a", None), (2, "a", 2), (3, "a", 2), (4, "b", 0)]
+    nulls = spark.createDataFrame([(None,), ("x",), (None,), ("a",)], "k string")
+    assert [r["k"] for r in ranking.dense_ids(nulls, "k", "place", partitions=3).orderBy("place").collect()] == [None, None, "a", "x"]
+    assert ranking.dense_ids(nulls.limit(0), "k").count() == 0
 
 
 def test_job_queue(spark, tmp_path):
