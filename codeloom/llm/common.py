@@ -47,3 +47,4 @@ def prepare(spark: SparkSession) -> None:
     """To be called by operators that run Python on executors."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

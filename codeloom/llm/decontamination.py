@@ -125,16 +125,16 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated ones, with all their columns."""
-    bad = scan(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    bad = scan(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad_doc_id"), F.col("text_key").alias("_bad_text_key"))
     bad = small_or_shuffled(materialise(docs.sparkSession, bad, "contaminated"), SMALL_KEYS)
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("_key")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_doc_id")) & (F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("_bad_text_key")), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the words of every span cut from the text. Texts that held a span come back as their remaining
     lower-cased words, single-spaced; other rows are unchanged."""
-    found = scan(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
+    found = scan(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_bad_doc_id"), F.col("text_key").alias("_bad_text_key"), F.col("spans").alias("_bad_spans"))
     key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left")
-    left = F.filter(words(F.col("text")), lambda w, i: ~F.exists("_spans", lambda s: (i >= s["a"]) & (i < s["b"])))
-    return joined.withColumn("text", F.when(F.col("_id").isNull(), F.col("text")).otherwise(F.array_join(left, " "))).drop("_id", "_key", "_spans")
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_bad_doc_id")) & (key == F.col("_bad_text_key")), "left")
+    left = F.filter(words(F.col("text")), lambda w, i: ~F.exists("_bad_spans", lambda s: (i >= s["a"]) & (i < s["b"])))
+    return joined.withColumn("text", F.when(F.col("_bad_doc_id").isNull(), F.col("text")).otherwise(F.array_join(left, " "))).drop("_bad_doc_id", "_bad_text_key", "_bad_spans")

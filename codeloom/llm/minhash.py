@@ -227,8 +227,8 @@ def confirmed(spark: SparkSession, docs: DataFrame, nodes: DataFrame, roots: Dat
     place = F.greatest(F.floor((F.row_number().over(order) - 1) / SET_BLOCK), F.floor((F.sum("n").over(order) - F.col("n")) / SET_SHINGLES))
     ranked = members.withColumn("block", place).withColumn("blocks", F.max("block").over(Window.partitionBy("root")) + 1)
     ranked = materialise(spark, ranked.select("node", "root", "rep", "block", "blocks"), "minhash-members")
-    wanted = small_or_shuffled(materialise(spark, ranked.select(F.col("rep").alias("_rep")).distinct(), "minhash-wanted"), SMALL_IDS)
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
+    wanted = small_or_shuffled(materialise(spark, ranked.select(F.col("rep").alias("_wanted_doc_id")).distinct(), "minhash-wanted"), SMALL_IDS)
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_wanted_doc_id")), "left_semi").select("text")
     full = texts.mapInPandas(sets, "node binary, shingles binary").join(ranked.drop("rep"), "node")
     paired = _pair_rows(full, F.col("block"), F.col("blocks"), [F.col("root")])
     return _forests(paired.select("pair", "node", "shingles"), group)
@@ -254,9 +254,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int
     """docs without all but one document of every class, with all their columns. Rows that repeat a kept doc_id are reduced
     to one; documents without an id or without words are no copies and stay."""
     found = materialise(spark, classes(spark, docs, width, percent), "minhash-classes")
-    lost = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    lost = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_lost_doc_id")).distinct()
     lost = small_or_shuffled(materialise(spark, lost, "minhash-lost"), SMALL_IDS)
-    left = docs.join(lost, docs["doc_id"] == F.col("_id"), "left_anti")
+    left = docs.join(lost, docs["doc_id"] == F.col("_lost_doc_id"), "left_anti")
     n, distinct = found.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()
     if n > distinct:
         left = left.where("doc_id is null").union(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
