@@ -18,6 +18,9 @@ Extractor = Callable[[str, bytes, str], Extraction]
 #: Extractors by language; a plug-in is another entry.
 REGISTRY: dict[str, Extractor] = {"python": python_source.extract, "typescript": typescript_source.extract, "go": go_source.extract}
 
+#: Files whose rows are handed over together.
+FILES_AT_ONCE = 50
+
 
 def extract_one(repo: str, path: str, language: str, content: bytes | None, error: str | None, registry: dict[str, Extractor]) -> dict:
     """The EXTRACTION row of one file; whatever an extractor raises becomes the row's error."""
@@ -40,8 +43,9 @@ def extract(files: DataFrame, registry: dict[str, Extractor] | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([extract_one(row["repo_name"], row["path"], row["language"], row["content"], row["error"], known)], schema=schema)
+            for at in range(0, batch.num_rows, FILES_AT_ONCE):
+                some = batch.slice(at, FILES_AT_ONCE).to_pylist()
+                yield pa.RecordBatch.from_pylist([extract_one(r["repo_name"], r["path"], r["language"], r["content"], r["error"], known) for r in some], schema=schema)
 
     usable = files.where(F.col("language").isin(*known)).select("repo_name", "path", "language", "content", "error")
     return usable.mapInArrow(run, EXTRACTION)

@@ -657,7 +657,8 @@ def _code(spark: SparkSession, sf_dir: str, language: str, template: str) -> Dat
     ext = {"python": ".py", "go": ".go", "typescript": ".ts"}[language]
     text = F.replace(F.replace(F.lit(template), F.lit("@K"), F.col("c_custkey").cast("string")), F.lit("@S"), F.initcap("c_mktsegment"))
     path = F.concat(F.lit("src/f"), F.col("c_custkey"), F.lit(ext))
-    return c.select(F.lit("made").alias("repo_name"), path.alias("path"), F.lit(language).alias("language"), text.cast("binary").alias("content"), F.lit(None).cast("string").alias("error"))
+    files = c.select(F.lit("made").alias("repo_name"), path.alias("path"), F.lit(language).alias("language"), text.cast("binary").alias("content"), F.lit(None).cast("string").alias("error"))
+    return files.repartition(max(1, spark.sparkContext.defaultParallelism))  # parsing is the work, and the table may be one file
 
 
 PYTHON_CODE = '''"""Module @K."""
@@ -719,7 +720,7 @@ def function_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of everything embeddable in the made Python files."""
     from codeloom.extract import udtf
 
-    extracted = udtf.extract(_code(spark, sf_dir, "python", PYTHON_CODE))
+    extracted = udtf.extract(_code(spark, sf_dir, "python", PYTHON_CODE)).persist()  # read by four branches
     return chunks.build(udtf.symbols_of(extracted), udtf.relationships_of(extracted))
 
 
