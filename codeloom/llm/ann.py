@@ -14,7 +14,8 @@ Equal vectors are one entry of the index with its smallest ids: no other of its
 one of each, and a query gets at most k rows from a block.
 
 Inner products are ranked, so vectors of unequal length get one more dimension that makes all lengths equal before
-they are coded. Defined results: vectors that are null, empty, zero, of another length than the most frequent one, or that hold
+they are coded; the length is the largest of all rows, in the sample or not. Few vectors that are much longer than the
+rest make the codes of the rest alike: the radius then holds nearly all of them, which costs time and no neighbours. Defined results: vectors that are null, empty, zero, of another length than the most frequent one, or that hold
 null or non-finite components take no part, nor do null ids; rows that repeat an id with one vector are one row, with other
 vectors are candidates of their own; with fewer candidates than k all are returned; an empty table gives an empty
 result; other columns are ignored.
@@ -63,10 +64,11 @@ class Model:
         return np.packbits((lifted - self.mean) @ self.rotations > 0, axis=1)
 
 
-def fit(vectors: np.ndarray, k: int, rotations: int = ROTATIONS, rounds: int = 12, seed: int = 5) -> Model:
-    """Learn rotations and radius from a sample, all on the driver."""
+def fit(vectors: np.ndarray, k: int, longest: float = 0.0, rotations: int = ROTATIONS, rounds: int = 12, seed: int = 5) -> Model:
+    """Learn rotations and radius from a sample, all on the driver. ``longest`` is the largest length of all rows: codes and
+    radius must be made with the length that all rows are coded with."""
     rng = np.random.default_rng(seed)
-    model = Model(float(np.sqrt((vectors**2).sum(axis=1).max())), np.zeros(0), np.zeros((0, 0)))
+    model = Model(max(longest, float(np.sqrt((vectors**2).sum(axis=1).max()))), np.zeros(0), np.zeros((0, 0)))
     lifted = model.lifted(vectors)
     model.mean = np.zeros(lifted.shape[1])
     dims, learned = lifted.shape[1], []
@@ -167,8 +169,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, id_column: str, vector_colu
     entries = materialise(spark, entries, "ann-entries")
     sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("vector").toPandas()["vector"]
     longest = entries.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))).first()[0]
-    model = fit(np.array(sample.tolist(), dtype=np.float64), k)
-    model.longest = max(model.longest, longest)
+    model = fit(np.array(sample.tolist(), dtype=np.float64), k, longest)
     shared = spark.sparkContext.broadcast(model)
 
     asked = rows.where("asked").select("id", "vector").distinct()

@@ -140,3 +140,21 @@ def test_recall_on_random_vectors(spark):
     found = {(r.query_id, r.vec_id) for r in got}
     true = {(q, int(i)) for q in range(0, 3000, 20) for i in np.argsort(-np.where(np.arange(3000) == q, -9, v @ v[q]))[:20]}
     assert len(found) == len(true) and len(found & true) / len(true) >= 0.9
+
+
+@pytest.mark.parametrize("times", [3, 10])
+def test_recall_with_a_long_vector_outside_the_sample(spark, monkeypatch, times):
+    monkeypatch.setattr(ann, "SAMPLE", 1500)
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(6000, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    schema = "vec_id long, embedding array<float>"
+    place = F.xxhash64(F.xxhash64("embedding"))
+    last = spark.createDataFrame([(i, (times * x).tolist()) for i, x in enumerate(v)], schema).orderBy(place.desc()).first().vec_id
+    v[last] *= times
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], schema)
+    assert last not in {r.vec_id for r in df.orderBy(place).limit(ann.SAMPLE).collect()}
+    got = ann.nearest(spark, df, "vec_id", "embedding", F.col("vec_id") % 60 == 0).collect()
+    found = {(r.query_id, r.vec_id) for r in got}
+    true = {(q, int(i)) for q in range(0, 6000, 60) for i in np.argsort(-np.where(np.arange(6000) == q, -9, v @ v[q]))[:20]}
+    assert len(found) == len(true) and len(found & true) / len(true) >= 0.95
