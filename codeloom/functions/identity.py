@@ -124,9 +124,9 @@ def content_hash(content: Column | str) -> Column:
 
 
 def byte_slice(content: Column | str, start: Column | str, end: Column | str) -> Column:
-    """Bytes [start, end) of the content as UTF-8 text."""
+    """Bytes [start, end) of the content as UTF-8 text; what a range cuts out of a character becomes U+FFFD."""
     start, end = _col(start).cast("int"), _col(end).cast("int")
-    return F.decode(F.substring(_col(content).cast("binary"), start + 1, F.greatest(end - start, F.lit(0))), "UTF-8")
+    return F.make_valid_utf8(F.substring(_col(content).cast("binary"), start + 1, F.greatest(end - start, F.lit(0))).cast("string"))
 
 
 def bare_target(target_id: Column | str) -> Column:

@@ -277,6 +277,14 @@ def byte_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ascii_only.select("doc_id", ident.byte_slice("text", start, start + 40).alias("piece"))
 
 
+@query("byte_slice_all")
+def byte_slice_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same slice of every document. SQL slices characters, so ``byte_slice`` is bound to texts where both agree;
+    tests hold this one against Python."""
+    start = F.col("doc_id") % 17
+    return table(spark, sf_dir, "documents").select("doc_id", ident.byte_slice("text", start, start + 40).alias("piece"))
+
+
 # ---------------------------------------------------------------- projections and filters
 
 

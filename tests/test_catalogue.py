@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from codeloom.functions import identity as ident
 from codeloom.plans import catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -45,3 +46,20 @@ def test_same_as_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_others_have_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def test_byte_slices_that_cut_characters(spark):
+    text = "aé日\U0001f600ß\u0800z\U0010ffff"
+    n = len(text.encode())
+    ranges = spark.createDataFrame([(text, a, b) for a in range(n + 2) for b in range(n + 3)], "t string, a int, b int")
+    for r in ranges.select("*", ident.byte_slice("t", "a", "b").alias("piece")).collect():
+        assert r.piece == text.encode()[r.a : r.b].decode("utf-8", "replace"), (r.a, r.b)
+
+
+def test_byte_slice_of_every_document(spark, con):
+    got = catalogue.QUERIES["byte_slice_all"](spark, SF).collect()
+    rows = con.execute("SELECT doc_id, text FROM documents").fetchall()
+    assert any(len(t) != len(t.encode()) for _, t in rows)
+    want = [(i, t.encode()[i % 17 : i % 17 + 40].decode("utf-8", "replace")) for i, t in rows]
+    assert any("\ufffd" in piece for _, piece in want)
+    assert sorted((r.doc_id, r.piece) for r in got) == sorted(want)
