@@ -3,7 +3,8 @@
 A byte-level BPE splits a text into pieces before any merge, and no piece crosses a single space between two
 characters that are not white space. So texts are cut before such spaces, each part is encoded once by the
 tokenizers library, and its ids are kept under a 64-bit hash of its bytes, which its length and outer bytes confirm;
-joined, they are the ids of the whole text. Cutting, hashing and looking up run over whole batches at once. The store of parts is emptied when it is full,
+joined, they are the ids of the whole text. The tokenizer's added token, where a text holds it, is one id as in a plain call
+of the library; it holds no space, so no cut falls inside it. Cutting, hashing and looking up run over whole batches at once. The store of parts is emptied when it is full,
 which costs time and changes no result.
 """
 
@@ -123,14 +124,15 @@ def cuts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes. ``added_tokens`` reads added tokens in texts
+    as such, which is the library's default and what ``encoder`` gives the operators; else they are ordinary text."""
 
-    def __init__(self, path: str, slots: int = SLOTS, limit: int = LIMIT):
+    def __init__(self, path: str, slots: int = SLOTS, limit: int = LIMIT, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.starts = np.zeros(1 + max(vocabulary.values()), bool)
         self.starts[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
@@ -212,5 +214,5 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One per worker process and file."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, added_tokens=True)
     return _encoders[path]

@@ -30,6 +30,25 @@ def test_parts_give_the_ids_of_whole_texts(plain):
             assert ids == plain(text).tobytes()
 
 
+def test_added_tokens_are_ids_of_their_own(spark):
+    library = Tokenizer.from_file(PATH)
+    whole = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
+    assert whole("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    rng, end = random.Random(5), "<|endoftext|>"
+    texts = [end, end * 2, f"a {end} b", f"in{end}side", f"{end} x", f"x {end}", f"x  {end}", f"{end}\n y", f"'{end}s it", f"é {end}日", "<|endoftext| >", f"<{end}>"]
+    texts += ["".join(rng.choice([end, "a", "b", " ", " ", "\n", "é", "'s", "word", "<|", "|>"]) for _ in range(rng.randint(1, 40))) for _ in range(800)]
+    small = tokens.Encoder(PATH, slots=1024, limit=700, added_tokens=True)
+    for encode in (small.encode, small.encode, tokens.encoder(PATH).encode):
+        for text, ids in zip(texts, encode(texts), strict=True):
+            assert ids == whole(text).tobytes(), text
+    docs = spark.createDataFrame(list(enumerate(texts[:12])), "doc_id long, text string")
+    crc = lambda text, last: zlib.crc32(np.append(whole(text), last).astype("<u4").tobytes())
+    written = token_output.read_documents(spark, token_output.write_shards(spark, docs, PATH, end_id=2)).collect()
+    packed = packing.encode_pieces(spark, docs, PATH, end_id=0).collect()
+    assert {r.doc_id: r.ids_crc32 for r in written} == {i: crc(t, 2) for i, t in enumerate(texts[:12])}
+    assert {r.doc_id: r.ids_crc32 for r in packed} == {i: crc(t, 0) for i, t in enumerate(texts[:12])}
+
+
 @pytest.mark.parametrize("n,width", [(0, 1), (1, 1), (5000, 3), (5000, 700), (70_000, 5)])
 def test_wavelet_matrix(n, width):
     ids = np.random.default_rng(n + width).zipf(1.5, n).clip(max=width).astype(np.uint32) * 7
