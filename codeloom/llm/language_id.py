@@ -2,17 +2,17 @@
 
 Training counts the 4-grams of words (letters only, lower-cased, one boundary mark at either end) per language on a
 bounded sample of labelled documents, and keeps each language's ``GRAMS`` most frequent. All filters share one
-table of 64-bit masks, one bit per language: adding an n-gram sets its language's bit in ``HASHES`` slots, and the AND of
-those slots is the set of all languages that hold the n-gram. A document's score for a language is the share of
+table of masks, one bit per language in as many 64-bit words as the sample's languages need: adding an n-gram sets its
+language's bit in ``HASHES`` slots, and the AND of those slots is the set of all languages that hold the n-gram. A document's score for a language is the share of
 its n-grams with that bit, less the share that the filter's own fill explains:
 
     (hits / n - fp) / (1 - fp),   fp = fill ** HASHES
 
 The largest score decides; ties go to the language with more training documents, then the smaller name.
 
-The table (8 MB) and the sample (``SAMPLE`` documents, chosen by a hash of the id) are the only things that
+The table (8 MB for every 64 languages) and the sample (``SAMPLE`` documents, chosen by a hash of the id) are the only things that
 reach the driver or every executor. Defined results: a null text or one without letters is ``und`` with score 0; letters without
-any known n-gram give the most frequent language with score 0; a null doc_id is not held out and not learned from;
+any known n-gram give the most frequent language with score 0; a language is known if the sample holds it; a null doc_id is not held out and not learned from;
 with nothing to learn from every document is ``und``; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -31,7 +31,6 @@ from codeloom.llm.common import prepare
 UND = "und"
 SAMPLE = 20_000
 GRAMS = 20_000
-LANGUAGES = 63
 #: Score under which ``keep`` rejects a document.
 LEAST = 0.2
 SLOTS = 1 << 20
@@ -73,7 +72,7 @@ def slots(codes: np.ndarray) -> list[np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray
+    table: np.ndarray  # slots x words, or slots where there is one word
     false_positive: np.ndarray
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
@@ -87,7 +86,7 @@ class Model:
             bits = np.arange(1 << n)[:, None] >> np.arange(n) & 1
             hits = counts @ bits
         else:
-            hits = np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :n].sum(axis=0, dtype=np.int64)
+            hits = np.unpackbits(mask.view(np.uint8).reshape(len(codes), -1), axis=1, bitorder="little")[:, :n].sum(axis=0, dtype=np.int64)
         return np.clip((hits / len(codes) - self.false_positive) / (1 - self.false_positive), 0, 1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -124,12 +123,15 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, grams_each
     counted = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).withColumn("docs", F.sum("docs").over(Window.partitionBy("lang")))
     top = counted.where(F.col("rank") <= grams_each).select("lang", "docs", "gram").toPandas()
     order = top[["lang", "docs"]].drop_duplicates().sort_values(["docs", "lang"], ascending=[False, True])
-    languages = order["lang"].tolist()[:LANGUAGES]
-    table = np.zeros(SLOTS, np.uint64)
+    languages = order["lang"].tolist()
+    table, fill = np.zeros((SLOTS, max(1, -(-len(languages) // 64))), np.uint64), np.zeros(len(languages))
+    own = {lang: grams.to_numpy(np.int64).view(np.uint64) for lang, grams in top.groupby("lang")["gram"]}
     for k, lang in enumerate(languages):
-        for at in slots(top.loc[top["lang"] == lang, "gram"].to_numpy(np.int64).view(np.uint64)):
-            table[at] |= np.uint64(1 << k)
-    fill = np.array([(table >> np.uint64(k) & np.uint64(1)).mean() for k in range(len(languages))])
+        word, bit = table[:, k // 64], np.uint64(1 << k % 64)
+        for at in slots(own[lang]):
+            word[at] |= bit
+        fill[k] = np.count_nonzero(word & bit) / SLOTS
+    table = table[:, 0] if table.shape[1] == 1 else table
     return Model(languages, table, fill**HASHES)
 
 

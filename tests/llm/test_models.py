@@ -45,6 +45,20 @@ def test_language_with_nothing_to_learn(spark):
     assert language_id.predict(spark, docs.limit(0), model).count() == 0
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    rng, rows = random.Random(12), []
+    for k in range(150):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 8))) for _ in range(30)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words) for _ in range(40)), f"l{k:03}") for i in range(6 + k % 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(spark, docs)
+    assert len(model.languages) == 150
+    got = {r.doc_id: r for r in language_id.predict(spark, docs, model).collect()}
+    right = [(lang, got[i].lang_pred == lang and got[i].score > 0.5) for i, _, lang in rows]
+    assert np.mean([ok for _, ok in right]) > 0.99 and {lang for lang, ok in right if ok} == set(model.languages)
+    assert language_id.keep(spark, docs, model).count() > 0.99 * len(rows)
+
+
 def test_false_positives_are_corrected():
     table = np.zeros(language_id.SLOTS, np.uint64)
     codes = np.arange(1, 2000, dtype=np.uint64)
