@@ -68,7 +68,7 @@ def top_k(vectors: DataFrame, query: DataFrame, k: int = 10, id_column: str = "m
 
 
 def _sign_code(vector: Column, planes: Sequence[Sequence[float]]) -> Column:
-    bits = [F.when(F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in p]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x) > 0, 1 << i).otherwise(0) for i, p in enumerate(planes)]
+    bits = [F.when(F.aggregate(F.zip_with(vector, F.expr(f"array({', '.join(f'{float(x)!r}D' for x in p)})"), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x) > 0, 1 << i).otherwise(0) for i, p in enumerate(planes)]
     total = bits[0]
     for b in bits[1:]:
         total = total + b

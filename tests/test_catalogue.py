@@ -3,10 +3,14 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.functions import identity as ident
+from codeloom.operators import ranking
 from codeloom.plans import catalogue
+from codeloom.session import table
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -63,3 +67,19 @@ def test_byte_slice_of_every_document(spark, con):
     want = [(i, t.encode()[i % 17 : i % 17 + 40].decode("utf-8", "replace")) for i, t in rows]
     assert any("\ufffd" in piece for _, piece in want)
     assert sorted((r.doc_id, r.piece) for r in got) == sorted(want)
+
+
+def test_recall_of_lsh(spark, con):
+    ids, vectors = zip(*con.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall(), strict=True)
+    v = np.array(vectors, np.float64)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = lambda i: {f"v{ids[j]}" for j in np.argsort(-unit @ unit[i])[:10]}
+    rows = table(spark, SF, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id")).alias("moniker"), "embedding", "vec_id").cache()
+    recall = []
+    for i in range(0, len(ids), len(ids) // 10):
+        got = ranking.top_k_lsh(rows, rows.where(F.col("vec_id") == ids[i]).select(F.col("embedding").alias("q")), catalogue.LSH_PLANES)
+        recall.append(len(near(i) & {r.moniker for r in got.collect()}) / 10)
+    rows.unpersist()
+    assert np.mean(recall) >= 0.9
+    exact = {r.moniker for r in catalogue.QUERIES["vector_topk"](spark, SF).collect()}
+    assert len(exact & {r.moniker for r in catalogue.QUERIES["vector_topk_lsh"](spark, SF).collect()}) >= 9
