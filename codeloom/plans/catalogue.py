@@ -519,7 +519,7 @@ def vector_topk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fixture_embed")
 def fixture_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture vectors of all documents; tests hold them against NumPy."""
-    return table(spark, sf_dir, "documents").select("doc_id", vectors.FixtureEmbedder(8).column("text").alias("embedding"))
+    return table(spark, sf_dir, "documents").select("doc_id", vectors.FixtureEmbedder().column("text").alias("embedding"))
 
 
 # ---------------------------------------------------------------- aggregates

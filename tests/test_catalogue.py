@@ -1,5 +1,6 @@
 """Every registered query of the graph side against its SQL, as the driver compares them."""
 
+import hashlib
 import os
 
 import duckdb
@@ -83,3 +84,12 @@ def test_recall_of_lsh(spark, con):
     assert np.mean(recall) >= 0.9
     exact = {r.moniker for r in catalogue.QUERIES["vector_topk"](spark, SF).collect()}
     assert len(exact & {r.moniker for r in catalogue.QUERIES["vector_topk_lsh"](spark, SF).collect()}) >= 9
+
+
+def test_fixture_vectors_same_as_numpy(spark, con):
+    text = dict(con.execute("SELECT doc_id, text FROM documents").fetchall())
+    rows = catalogue.QUERIES["fixture_embed"](spark, SF).collect()
+    assert len(rows) == len(text)
+    for r in rows:
+        seed = int.from_bytes(hashlib.sha256(text[r.doc_id].encode()).digest()[-4:], "big")
+        assert np.array_equal(np.array(r.embedding, np.float32), np.random.default_rng(seed).random(384).astype(np.float32))
