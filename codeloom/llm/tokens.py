@@ -2,10 +2,12 @@
 
 A byte-level BPE splits a text into pieces before any merge, and no piece crosses a single space between two
 characters that are not white space. So texts are cut before such spaces, each part is encoded once by the
-tokenizers library, and its ids are kept under a 64-bit hash of its bytes, which its length and outer bytes confirm;
-joined, they are the ids of the whole text. The tokenizer's added token, where a text holds it, is one id as in a plain call
-of the library; it holds no space, so no cut falls inside it. Cutting, hashing and looking up run over whole batches at once. The store of parts is emptied when it is full,
-which costs time and changes no result.
+tokenizers library, and its ids are kept under a 64-bit hash of its bytes; joined, they are the ids of the whole text.
+The hash only finds a part: all bytes of a hit are compared, and a part whose hash belongs to another one is encoded
+afresh, as are parts of more than ``PART`` bytes, which are never kept. The tokenizer's added token, where a text holds
+it, is one id as in a plain call of the library; it holds no space, so no cut falls inside it. Cutting, hashing,
+comparing and looking up run over whole batches at once. The store of parts is emptied when it is full, which costs
+time and changes no result.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import numpy as np
 SLOTS, LIMIT = 1 << 21, 1_300_000
 #: Bytes of text handled together (a longer text is handled alone), and parts encoded as one text.
 BATCH, GROUP = 1 << 19, 64
+#: Bytes of the longest part that is kept.
+PART = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _encoders: dict[str, Encoder] = {}
@@ -47,19 +51,18 @@ class Hasher:
 
 #: Masks of the first 0 to 8 bytes of a little-endian word.
 _FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_NO_BYTES = np.zeros(9, np.uint8)
+#: What ``find`` answers for a part that is not in the store, and for one whose hash another part holds.
+UNKNOWN, CLASH = -1, -2
 
 
-def outer_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A check of spans that knows their length and their first and last eight bytes: all there is of short ones."""
-    words = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(9, np.uint8)]), strides=(1,))
-    sizes = ends - starts
-    first = words[starts] & _FIRST[np.minimum(sizes, 8)]
-    last = words[np.maximum(ends - 8, starts)] & _FIRST[np.minimum(sizes, 8)]
-    return (first * _MIX ^ last) * _BASE + sizes.astype(np.uint64)
+def _words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of ``data`` (which ends with eight bytes to spare) as one number."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
 
 
 class Store:
-    """Open addressing over 64-bit keys; a check of each part's bytes confirms every hit."""
+    """Open addressing over 64-bit keys, with the bytes of every part; a hit is a part of the very same bytes."""
 
     def __init__(self, slots: int, limit: int):
         self.slots, self.limit = slots, limit
@@ -68,12 +71,13 @@ class Store:
 
     def clear(self) -> None:
         self.keys, self.row = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
-        self.check, self.start, self.count = (np.zeros(self.limit, t) for t in (np.uint64, np.int64, np.int32))
+        self.start, self.count, self.byte, self.size = (np.zeros(self.limit, t) for t in (np.int64, np.int32, np.int64, np.int32))
         self.ids, self.n, self.used = np.zeros(4 * self.limit, np.uint32), 0, 0
+        self.bytes, self.filled = np.zeros(8 * self.limit, np.uint8), 0
 
-    def find(self, keys: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """Row of each key, -1 where it is unknown."""
-        out, at = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+    def find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Row of each part, given by its key and its place in ``data`` (with eight bytes to spare), or one of the codes above."""
+        out, at = np.full(len(keys), UNKNOWN, np.int64), np.arange(len(keys))
         slot = (keys >> self.shift).astype(np.int64)
         while len(at):
             held = self.keys[slot]
@@ -81,21 +85,35 @@ class Store:
             out[at[hit]] = self.row[slot[hit]]
             on = ~hit & (held != 0)
             at, slot = at[on], (slot[on] + 1) & (self.slots - 1)
-        known = out >= 0
-        if not np.array_equal(self.check[out[known]], check[known]):
-            raise RuntimeError("two parts share a 64-bit hash; choose another base")
+        known = np.flatnonzero(out >= 0)
+        rows = out[known]
+        same = self.size[rows] == sizes[known]
+        out[known[~same]] = CLASH
+        known, rows = known[same], rows[same]
+        asked, kept, done = _words_at(data), _words_at(self.bytes), 0
+        while len(known):
+            left = sizes[known] - done
+            differ = (asked[starts[known] + done] ^ kept[self.byte[rows] + done]) & _FIRST[np.minimum(left, 8)] != 0
+            out[known[differ]] = CLASH
+            on = ~differ & (left > 8)
+            known, rows, done = known[on], rows[on], done + 8
         return out
 
-    def add(self, keys: np.ndarray, check: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """New and distinct keys, the number of ids of each, and all their ids in turn."""
+    def add(self, keys: np.ndarray, parts: list[bytes], counts: np.ndarray, ids: np.ndarray) -> None:
+        """New and distinct keys, the part of each, its number of ids, and all ids in turn."""
         rows = np.arange(self.n, self.n + len(keys))
         need = self.used + int(counts.sum())
         if need > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(need, np.uint32)])
         self.ids[self.used : need] = ids
-        self.check[rows], self.count[rows] = check, counts
-        self.start[rows] = self.used + np.cumsum(counts) - counts
-        self.n, self.used = self.n + len(keys), need
+        self.count[rows], self.start[rows] = counts, self.used + np.cumsum(counts) - counts
+        joined, sizes = np.frombuffer(b"".join(parts), np.uint8), np.fromiter(map(len, parts), np.int64, len(parts))
+        full = self.filled + len(joined)
+        if full + 8 > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros(full + 8, np.uint8)])
+        self.bytes[self.filled : full] = joined
+        self.size[rows], self.byte[rows] = sizes, self.filled + np.cumsum(sizes) - sizes
+        self.n, self.used, self.filled = self.n + len(keys), need, full
         at, slot = np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
         while len(at):
             free = self.keys[slot] == 0
@@ -172,28 +190,40 @@ class Encoder:
         data = np.frombuffer(joined, np.uint8)
         starts = cuts(data, (ends - sizes)[sizes > 0])
         stops = np.append(starts[1:], len(data))
-        keys, check = self.hasher.spans(data, starts, stops), outer_bytes(data, starts, stops)
-        rows = self.store.find(keys, check)
-        unknown = np.flatnonzero(rows < 0)
-        if len(unknown):
+        spare, lengths = np.concatenate([data, _NO_BYTES]), stops - starts
+        rows = np.full(len(starts), CLASH, np.int64)
+        short = np.flatnonzero(lengths <= PART)
+        keys = self.hasher.spans(data, starts[short], stops[short])
+        rows[short] = self.store.find(keys, spare, starts[short], lengths[short])
+        unknown = rows[short] == UNKNOWN
+        if unknown.any():
             new, first = np.unique(keys[unknown], return_index=True)
-            first = unknown[first]
             if self.store.n + len(new) > self.store.limit:
                 self.store.clear()
-                rows[:] = -1
+                rows[short], unknown = UNKNOWN, np.ones(len(short), bool)
                 new, first = np.unique(keys, return_index=True)
                 if len(new) > self.store.limit:
                     yield from (i.tobytes() for i in self._plain([t.decode("utf-8") for t in texts]))
                     return
-            parts = [joined[a:b].decode("utf-8") for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
-            order, counts, ids = self._encode_parts(parts)
-            self.store.add(new[order], check[first[order]], counts, ids)
-            again = np.flatnonzero(rows < 0)
-            rows[again] = self.store.find(keys[again], check[again])
-        counts = self.store.count[rows]
+            first = short[unknown][first]
+            parts = [joined[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+            order, counts, ids = self._encode_parts([p.decode("utf-8") for p in parts])
+            self.store.add(new[order], [parts[i] for i in order.tolist()], counts, ids)
+            again = short[unknown]
+            rows[again] = self.store.find(keys[unknown], spare, starts[again], lengths[again])
+        kept, apart = rows >= 0, np.flatnonzero(rows == CLASH)
+        places = [joined[a:b] for a, b in zip(starts[apart].tolist(), stops[apart].tolist(), strict=True)]
+        distinct = list(dict.fromkeys(places))
+        afresh = dict(zip(distinct, self._plain([p.decode("utf-8") for p in distinct]), strict=True))
+        counts = np.zeros(len(rows), np.int64)
+        counts[kept] = self.store.count[rows[kept]]
+        counts[apart] = [len(afresh[p]) for p in places]
         before = np.concatenate([[0], np.cumsum(counts)])
-        places = np.repeat(self.store.start[rows] - before[:-1], counts) + np.arange(before[-1])
-        packed = self.store.ids[places].astype("<u4").tobytes()
+        at = np.repeat(np.where(kept, self.store.start[np.maximum(rows, 0)], 0) - before[:-1], counts) + np.arange(before[-1])
+        flat = self.store.ids[np.minimum(at, len(self.store.ids) - 1)] if len(apart) else self.store.ids[at]
+        for i, part in zip(apart.tolist(), places, strict=True):
+            flat[before[i] : before[i + 1]] = afresh[part]
+        packed = flat.astype("<u4").tobytes()
         edges = (4 * before[np.searchsorted(starts, np.concatenate([[0], ends]))]).tolist()
         yield from (packed[a:b] for a, b in zip(edges, edges[1:], strict=False))
 

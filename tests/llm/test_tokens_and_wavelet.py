@@ -125,3 +125,45 @@ def test_rounds_merge_residues(spark):
 def test_best_fit_takes_the_tightest_bin():
     bins, offsets = packing.best_fit(np.array([7, 6, 4, 3, 3]), 10)
     assert bins.tolist() == [0, 1, 1, 0, 2] and offsets.tolist() == [0, 0, 6, 7, 0]
+
+
+def _thue_morse(doublings):
+    """Two texts whose polynomial hashes modulo 2 ** 64 are equal whatever the base."""
+    one, two = "a", "b"
+    for _ in range(doublings):
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_texts_of_equal_hashes_and_long_words_keep_their_own_ids(spark):
+    library = Tokenizer.from_file(PATH)
+    whole = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
+    one, two = _thue_morse(10)
+    texts = [one, two, "x" * 8 + one + "y" * 8, "x" * 8 + two + "y" * 8, f"in {one} and {two} it", "q" * 100_000, " ".join(["z" * 63, "z" * 64, "z" * 65, "ß" * 32, "ß" * 33])]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice("abcdefghij.-é") for _ in range(n)) for n in (17, 64, 65, 5000, 100_000)] + ["日本語" * 9000]
+    for encode in (tokens.Encoder(PATH, slots=1024, limit=700, added_tokens=True).encode, tokens.encoder(PATH).encode):
+        for group in (texts, texts[::-1], texts[1:2], texts[:1]):
+            for text, ids in zip(group, encode(group), strict=True):
+                assert ids == whole(text).tobytes()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    crc = lambda text, last: zlib.crc32(np.append(whole(text), last).astype("<u4").tobytes())
+    written = token_output.read_documents(spark, token_output.write_shards(spark, docs, PATH, end_id=2)).collect()
+    assert {r.doc_id: r.ids_crc32 for r in written} == {i: crc(t, 2) for i, t in enumerate(texts)}
+    pieces = packing.encode_pieces(spark, docs, PATH, end_id=0).collect()
+    lengths = {i: sum(p.length for p in pieces if p.doc_id == i) for i in range(len(texts))}
+    assert lengths == {i: len(whole(t)) + 1 for i, t in enumerate(texts)}
+    for i, text in enumerate(texts):
+        ids = np.append(whole(text), 0).astype("<u4")
+        for p in (p for p in pieces if p.doc_id == i):
+            assert p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
+
+
+def test_a_clash_of_keys_is_encoded_afresh(plain, monkeypatch):
+    """Every part gets one of four keys, so nearly every hit is another part's."""
+    encoder = tokens.Encoder(PATH, slots=1024, limit=700)
+    spans = encoder.hasher.spans
+    monkeypatch.setattr(encoder.hasher, "spans", lambda *a: (spans(*a) & np.uint64(3)) + np.uint64(1))
+    texts = ["the quick brown fox jumps over the lazy dog", "", "another day another word", "extraordinarily-long-hyphenated-words here extraordinarily-long-hyphenated-worde"] * 2
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids == plain(text).tobytes()
