@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialise, prepare, small_or_shuffled
+from codeloom.llm.common import materialise, prepare, salted_join, small_or_shuffled
 
 SAMPLE, BAND_SAMPLE = 16_384, 256
 #: Bits of a code (a multiple of 64) and of a substring.
@@ -57,8 +57,6 @@ CELL = 1 << 15
 TOGETHER = 1 << 18
 #: Bytes of query vectors that are broadcast.
 QUERY_BYTES = 32 << 20
-#: Copies of a result row where many queries share one vector and results are too many to broadcast.
-SALT = 16
 
 
 @cache
@@ -348,13 +346,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, id_column: str, vector_colu
             break
         wanted, more = short, more + 1
     best = _ranked(spark, pairs, entries, asking, sizes.n, k)
-    salted = materialise(spark, best, "ann-best")
-    small = salted.limit(QUERY_BYTES // (32 * k) + 1).count() <= QUERY_BYTES // (32 * k)
-    if small:
-        joined = asked.withColumnRenamed("entry", "query").join(F.broadcast(salted), "query")
-    else:
-        salted = salted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        joined = asked.withColumnRenamed("entry", "query").withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(salted, ["query", "_salt"])
+    best = materialise(spark, best, "ann-best")
+    joined = salted_join(spark, asked.withColumnRenamed("entry", "query"), best, "query", F.xxhash64("id"), QUERY_BYTES // (32 * k))
     others = F.slice(F.filter("best", lambda b: ~(b["own"] & (b["id"] == F.col("id")))), 1, k)
     found = joined.select(F.col("id").alias("query_id"), F.posexplode(others).alias("at", "row"))
     return found.select("query_id", (F.col("at") + 1).alias("rank"), F.col("row.id").alias(id_column), (-F.col("row.minus")).alias("score"))

@@ -72,3 +72,58 @@ def test_components_of_a_path_a_star_and_a_cycle(spark):
     edges = [(i + 1, i) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
     found = {r.node: r.root for r in components(spark, spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200, 202: 200}
+
+
+@pytest.mark.parametrize("hubs,edits", [(2, 9), (64, 4)])
+def test_large_families_are_compared_whole_in_rows_in_proportion(spark, monkeypatch, hubs, edits):
+    """Different near copies of one text, of which hubs attach a part only; every step's rows stay a few times the nodes."""
+    for name, value in (("BLOCK", 50), ("SET_BLOCK", 40), ("HUBS", hubs), ("HOT_LEAST", 5)):
+        monkeypatch.setattr(minhash, name, value)
+    written, made = [], minhash._streamed
+    monkeypatch.setattr(minhash, "_streamed", lambda df, make, work, schema: written.append((work.__name__, df.groupBy("kind").count().collect())) or made(df, make, work, schema))
+    rng = random.Random(hubs)
+    base = [f"w{k}" for k in range(60)]
+    texts = family(rng, base, edits, 400) + family(rng, [f"v{k}" for k in range(50)], 2, 60) + [" ".join(base)] * 30
+    rows = [(i, t, *EDGE[0][2:]) for i, t in enumerate(texts)]
+    got = minhash.classes(spark, spark.createDataFrame(rows, DOCS), 4, 80).collect()
+    assert order((r.doc_id, r.n_shingles, r.component_id) for r in got) == order(brute(rows, 4, 80))
+    # The buckets come first: a node is in at most BANDS of them; then the sets, where it is in one group.
+    steps = [(name, {r.kind: r["count"] for r in counts}) for name, counts in written]
+    for groups, own in ((minhash.BANDS, steps[:3]), (1, steps[3:])):
+        assert [name for name, _ in own] == ["_Whole", "_Hubs", "_Rest"]
+        assert all(n.get(1, 0) <= groups * len(texts) * (minhash.FAN if name == "_Rest" else 1) for name, n in own)
+        assert own[0][1].get(0, 0) <= groups * len(texts) and own[2][1].get(0, 0) <= groups * len(texts)
+
+
+def test_ids_that_are_no_key(spark):
+    near = " ".join(f"w{k}" for k in range(100))
+    texts = [(1, near), (2, near + " x"), (2, "something else entirely with more than five words"), (2, "something else entirely with more than five words"), (1, near), (None, near + " y"), (None, "a lonely text without any id in its class"), (None, "a lonely text without any id in its class"), (3, None), (3, None), (4, "few words"), (1, near + " z")]
+    rows = [(i, t, *EDGE[0][2:]) for i, t in texts]
+    kept = minhash.keep_one(spark, spark.createDataFrame(rows, DOCS))
+    left = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in kept.collect())
+    first = [x for x in left if x[1] == 1]
+    assert len(first) == 1 and first[0][2].startswith(near)
+    assert [x for x in left if x[1] != 1] == [(False, 0, texts[6][1]), (True, 2, texts[2][1]), (True, 3, ""), (True, 3, ""), (True, 4, "few words")]
+    assert kept.columns == spark.createDataFrame(rows, DOCS).columns
+
+
+def test_crowded_nodes_are_salted(spark, monkeypatch):
+    from codeloom.llm import components as c
+
+    monkeypatch.setattr(c, "CROWDED", 20)
+    monkeypatch.setattr(c, "TIMES", 0)
+    rng = random.Random(3)
+    edges = [(500, k) for k in range(400)] + [(rng.randrange(1000, 1300), rng.randrange(1000, 1300)) for _ in range(200)] + [(2000 + k, 2001 + k) for k in range(40)]
+    assert c._survey(spark.createDataFrame(edges, "u long, v long"))[1]
+    found = {r.node: r.root for r in components(spark, spark.createDataFrame(edges, "u long, v long")).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    assert found == {x: find(x) for u, v in edges if u != v for x in (u, v)}
