@@ -1,18 +1,23 @@
-"""Benchmark decontamination by an anchored hash join (DataFrame functions only).
+"""Benchmark decontamination with a broadcast hash set of n-grams (DataFrame functions only).
 
-Any window of W item words wholly covers at least one of the item's aligned blocks of (W + 1) // 2 words, so the
-rarest word of every block is an anchor. Anchors, their blocks and their items' words form the test-side hash
-table, which is broadcast; a benchmark whose text is over ``BROADCAST_BYTES`` is dealt by item into parts that are not,
-with a scan of the documents for each. A scan of the training words looks each word up, and the block around it must
-match in the same join. Each hit is then
-verified: document and item are laid over each other and every run of W equal words gives a span. So one
-occurrence of an item costs a few rows, however many windows it has, and no window is ever written out.
+Any window of W item words wholly covers one of the item's aligned blocks of (W + 1) // 2 words, so the hashes of these
+blocks are the n-grams of the set; an item of fewer than W words has one, of its first words (as many as the largest of the
+lengths 1, 2, 4, ... and the block's that it holds). A scan of the documents hashes the words at every place, once for
+each length that the items have, and looks the hashes up in the broadcast set. A hit takes the document's words around it
+along and meets the item's words around the blocks of that hash; both are laid over each other, and every run of W
+equal words gives a span. A window reaches no further than W - 1 words beyond a block that it covers, so the words around
+all blocks of an item are less than three times the item, and an occurrence costs one narrow row for every block of it.
+
+The set is broadcast in parts of at most ``BROADCAST_BYTES``, measured by its number of hashes; each part is one scan of
+the documents. The words around blocks are broadcast where they are few, else joined under salts, as a hash may be met in
+very many documents.
 
 Words and windows are as in ``words`` and ``WINDOW``; an item of fewer words is one window.
 
 Defined results: null or word-less texts have no words, hits or items; benchmark rows with null item_id or without
 words take no part; an item_id that occurs in several rows counts once, over all its rows; rows that repeat a
-document each get its result; empty tables on either side work; other columns are ignored.
+document each get its result; documents and items of any length are read whole; empty tables on either side work; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ascii_lower, materialise, small_or_shuffled
+from codeloom.llm.common import ascii_lower, materialise, salted_join, small_or_shuffled
 
 WINDOW = 13
 #: What separates words once A-Z are lower-cased: everything but [^\x00-\x2F\x3A-\x60\x7B-\x7F].
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
+#: Bytes of one hash in a broadcast set; blocks, of at most 2 * WINDOW words, that are broadcast to the hits.
+HASH_BYTES, SMALL_BLOCKS = 64, 60_000
 #: Up to so many contaminated documents (40 bytes each) are broadcast to the scan that removes them.
 SMALL_KEYS = 500_000
 
@@ -34,23 +41,26 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def anchors(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """anchor word, its place in the item, the block that must match around it, and the item's words."""
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("item")).where(F.size("item") > 0).distinct()
-    counts = items.select(F.explode("item").alias("word")).groupBy("word").count()
+def _lengths(window: int) -> list[int]:
+    """Lengths of n-grams, longest first."""
     half = (window + 1) // 2
-    n = F.size("item")
-    places = items.select("item_id", "item", F.posexplode("item").alias("at", "word"))
-    whole = n < window
-    block = F.when(whole, 0).otherwise(F.floor(F.col("at") / half)).cast("int")
-    places = places.withColumn("block", block).where(whole | (F.col("block") < F.floor(n / half)))
-    rare = F.struct((-F.col("count")).alias("c"), F.length("word").alias("l"), F.col("word").alias("w"), (-F.col("at")).alias("p"))
-    best = places.join(counts, "word").groupBy("item_id", "item", "block").agg(F.max(rare).alias("best"))
-    first = F.when(whole, 0).otherwise(F.col("block") * half)
-    length = F.when(whole, n).otherwise(half)
-    return best.select(
-        F.col("best.w").alias("word"), (-F.col("best.p")).alias("at"), first.alias("first"), F.slice("item", first + 1, length).alias("part"), "item_id", "item", F.least(n, F.lit(window)).alias("need")
-    )
+    return [half, *[1 << k for k in reversed(range(half.bit_length())) if 1 << k < half]]
+
+
+def blocks(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """hash of every n-gram, its length, item_id, the item's words around it (part), the places of part before it (back)
+    and the words that must be equal in a row (need)."""
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("item")).where(F.size("item") > 0).distinct()
+    lengths, n = _lengths(window), F.size("item")
+    half = lengths[0]
+    length = F.coalesce(*[F.when(n >= size, size) for size in lengths])
+    at = F.when(n >= window, F.sequence(F.lit(0), F.greatest(n - half, F.lit(0)), F.lit(half))).otherwise(F.array(F.lit(0)))
+    placed = items.select("item_id", "item", length.alias("length"), F.explode(at).alias("at"))
+    start = F.greatest(F.col("at") - (window - half), F.lit(0))
+    return placed.select(
+        F.xxhash64(F.slice("item", F.col("at") + 1, F.col("length"))).alias("hash"), "length", "item_id", F.slice("item", start + 1, F.least(n, F.col("at") + window) - start).alias("part"),
+        (F.col("at") - start).alias("back"), F.least(n, F.lit(window)).alias("need"),
+    )
 
 
 def _spans(item_part: Column, doc_part: Column, start: Column, need: Column) -> Column:
@@ -67,50 +77,64 @@ def _spans(item_part: Column, doc_part: Column, start: Column, need: Column) ->
     return F.aggregate(same, zero, step, lambda acc: acc["found"])
 
 
-def _covered(spans: Column) -> Column:
-    """Places that at least one of the sorted spans covers."""
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
-    step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(acc["end"], s["a"]))).alias("n"), F.greatest(acc["end"], s["b"]).alias("end"))
-    return F.aggregate(spans, zero, step, lambda acc: acc["n"])
-
-
-def _hits(source: DataFrame, table: DataFrame) -> DataFrame:
-    """One row per document (``head``) and one per anchor that is met, with the spans around it."""
-    # The empty string in front, which is no word, gives every document exactly one row of its own.
-    placed = source.select("doc_id", "text_key", "doc", F.size("doc").cast("long").alias("n_words"), F.posexplode_outer(F.array_prepend("doc", F.lit(""))).alias("pos", "doc_word"))
-    start = F.col("pos") - 1 - F.col("at")
-    around = start + F.col("first")
-    block = F.when(around >= 0, F.slice("doc", around + 1, F.size("part")))
-    fits = (F.col("doc_word") == F.col("word")) & (block == F.col("part"))
-    met = placed.join(F.broadcast(table), fits, "left").where("word is not null or pos = 0")
-    # Only the words that the item covers leave the scan; the partition id keeps this projection from being merged into
-    # the next, which is not compiled and would be handed the whole document with every row.
-    skipped = F.greatest(-start, F.lit(0))
-    real = F.col("word").isNotNull() & (F.spark_partition_id() >= 0)
-    cut = met.select(
-        "doc_id", "text_key", "n_words", (F.col("pos") == 0).alias("head"), "item_id", "need", (start + skipped).alias("start"),
-        F.when(real, F.slice("item", skipped + 1, F.size("item"))).alias("item_part"),
-        F.when(real, F.slice("doc", start + skipped + 1, F.size("item") - skipped)).alias("doc_part"),
-    )
-    hit = F.when(F.col("item_id").isNotNull(), F.struct("item_id", _spans(F.col("item_part"), F.col("doc_part"), F.col("start"), F.col("need")).alias("spans")))
-    return cut.select("doc_id", "text_key", "n_words", "head", hit.alias("hit"))
+def _merged(spans: Column) -> Column:
+    """Sorted spans as disjoint ones; neighbours that touch are one."""
+    kind = "array<struct<a:int,b:int>>"
+    zero = F.struct(F.array().cast(kind).alias("done"), F.lit(-1).alias("a"), F.lit(-1).alias("b"))
+    closed = lambda acc: F.when(acc["b"] > acc["a"], F.concat(acc["done"], F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b"))))).otherwise(acc["done"])
+
+    def step(acc: Column, s: Column) -> Column:
+        apart = s["a"] > acc["b"]
+        return F.struct(F.when(apart, closed(acc)).otherwise(acc["done"]).alias("done"), F.when(apart, s["a"]).otherwise(acc["a"]).alias("a"), F.when(apart, s["b"]).otherwise(F.greatest(acc["b"], s["b"])).alias("b"))
+
+    return F.aggregate(spans, zero, step, closed)
+
+
+def _scanned(source: DataFrame, hashes: DataFrame, lengths: list[int], window: int) -> DataFrame:
+    """One row per document (place null) and one per place whose n-gram is in the set, with the words around it. A slice is
+    cut per row, in compiled code; inside a lambda each one would read the whole array."""
+    n, place, back = F.size("doc"), F.col("place"), window - (window + 1) // 2
+    # Place -1, which has no n-gram, gives every document exactly one row of its own.
+    placed = source.select("doc_id", "text_key", "doc", F.explode(F.sequence(F.lit(-1), n - 1)).alias("place"))
+    made = [F.when((place >= 0) & (place <= n - size), F.xxhash64(F.slice("doc", F.greatest(place, F.lit(0)) + 1, size))) for size in lengths]
+    if len(made) == 1:
+        grams = placed.withColumn("gram", made[0])
+    else:
+        grams = placed.select("*", F.posexplode(F.array(*made)).alias("length", "gram")).where("gram is not null or (place = -1 and length = 0)")
+    met = grams.join(F.broadcast(hashes.select("hash").distinct()), F.col("gram") == F.col("hash"), "left").where("place = -1 or hash is not null")
+    first = F.greatest(place - back, F.lit(0))
+    around = F.when(place >= 0, F.slice("doc", first + 1, F.greatest(place, F.lit(0)) + window - first))
+    return met.select("doc_id", "text_key", n.cast("long").alias("n_words"), "hash", F.when(place >= 0, place).alias("place"), first.alias("first"), around.alias("around"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Per distinct document: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated, items, spans (array of
-    [a, b) word places) and copies. ``text_key`` is the MD5 of the text."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    table, parts = anchors(benchmark, window), max(1, -(-size // broadcast_bytes))
+    """Per distinct document: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated, items, spans (disjoint
+    [a, b) word places, in order) and copies. ``text_key`` is the MD5 of the text."""
+    spark = docs.sparkSession
+    table = materialise(spark, blocks(benchmark, window), "decontamination-blocks")
+    known = table.groupBy("length").agg(F.count_distinct("hash").alias("n")).collect()
+    lengths = [r.length for r in sorted(known, key=lambda r: -r.length)] or [(window + 1) // 2]
+    parts = max(1, -(-sum(r.n for r in known) * HASH_BYTES // broadcast_bytes))
     source = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"), words(F.col("text")).alias("doc"))
-    found = _hits(source, table if parts == 1 else table.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(parts)) == 0))
-    for k in range(1, parts):
-        found = found.union(_hits(source, table.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(parts)) == k)).where("hit is not null").withColumn("head", F.lit(False)))
-    per_doc = found.groupBy("doc_id", "text_key").agg(
-        F.max("n_words").alias("n_words"), F.collect_set(F.when(F.size("hit.spans") > 0, F.col("hit"))).alias("hits"), F.count_if("head").cast("int").alias("copies")
-    )
+    found = None
+    for k in range(parts):
+        met = _scanned(source, table if parts == 1 else table.where(F.pmod("hash", F.lit(parts)) == k), lengths, window)
+        found = met if found is None else found.union(met.where("place is not null"))
+    found = materialise(spark, found, "decontamination-hits")
+    heads = found.where("place is null").select("doc_id", "text_key", "n_words", F.lit(True).alias("head"), F.lit(None).cast("struct<item_id:string,spans:array<struct<a:int,b:int>>>").alias("hit"))
+    hits = found.where("place is not null").drop("n_words")
+    laid = salted_join(spark, hits, table, "hash", F.xxhash64("doc_id", "text_key", "place"), SMALL_BLOCKS)
+    # Both parts from the later of their beginnings on, which is document place ``start``.
+    begin = F.col("place") - F.col("back")
+    start = F.greatest(begin, F.col("first"))
+    spans = _spans(F.slice("part", start - begin + 1, F.size("part")), F.slice("around", start - F.col("first") + 1, F.size("part")), start, F.col("need"))
+    hit = F.struct("item_id", spans.alias("spans"))
+    laid = laid.select("doc_id", "text_key", F.lit(None).cast("long").alias("n_words"), F.lit(False).alias("head"), hit.alias("hit")).where(F.size("hit.spans") > 0)
+    per_doc = heads.union(laid).groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.count_if("head").cast("int").alias("copies"))
     items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
-    spans = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["spans"]))))
-    out = per_doc.select("doc_id", "text_key", "n_words", "copies", items.alias("items"), spans.alias("spans")).withColumn("n_hit", _covered(F.col("spans")))
+    spans = _merged(F.array_sort(F.flatten(F.transform("hits", lambda h: h["spans"]))))
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    out = per_doc.select("doc_id", "text_key", "n_words", "copies", items.alias("items"), spans.alias("spans")).withColumn("n_hit", covered)
     return out.select(
         "doc_id", "text_key", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "items", "spans", "copies",

@@ -63,3 +63,26 @@ def test_removal(spark):
     assert cut.where("doc_id = 5").count() == 2
     assert d.judge(docs, bench.limit(0)).where("contaminated").count() == 0
     assert d.judge(docs.limit(0), bench).count() == 0
+
+
+def test_a_very_long_item_stays_linear(spark):
+    rng = random.Random(1)
+    item = [f"w{rng.randrange(5000)}" for _ in range(100_000)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[500:520]))], "item_id long, text string")
+    table = d.blocks(bench)
+    most, rows = table.selectExpr("max(size(part))", "count(*)").first()
+    assert most <= 2 * d.WINDOW and rows <= len(item) // 7 + 10
+    docs = spark.createDataFrame([(1, "before " + " ".join(item) + " after"), (2, " ".join(item[700:712])), (3, " ".join(item[40_000:40_013]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in d.scan(docs, bench).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[1].spans) == (100_002, 100_000, 2, [(1, 100_001)])
+    assert (got[2].n_hit, got[3].n_hit, got[3]["items"]) == (0, 13, ["1"])
+
+
+def test_blocks_that_are_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(d, "SMALL_BLOCKS", 0)
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    bench = spark.createDataFrame([(1, item), (2, item + " and more"), (3, "seven eight"), (4, "nine")], "item_id long, text string")
+    docs = [(k, f"x {item} y") for k in range(30)] + [(99, "seven nine"), (100, None)]
+    got = {r.doc_id: r for r in d.judge(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    want = {k: brute(t, [(1, item), (2, item + " and more"), (3, "seven eight"), (4, "nine")]) for k, t in docs}
+    assert {k: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for k, r in got.items()} == want
