@@ -2,18 +2,22 @@
 
 Labellers vote bad, good or nothing on a document; two tasks (junk and toxic) have their own. For each task an
 expectation-maximisation over the votes of a bounded sample estimates the prior and every labeller's table of
-P(vote | class), and so its accuracy, without trusting any of them; the table of human labels, which covers some documents,
-is one more labeller, whose accuracy is estimated above a floor and which is asked only in training. The posteriors are the soft
-targets of a linear scorer over hashed tokens: the words of the text, their first four, five and seven bytes, and the bucket
-that each measure of the text falls into. Tokens whose share among bad and good documents differs beyond ``Z`` standard errors, the ``TOKENS``
-most telling ones, get weights by Newton's method with a quadratic penalty. Only text decides a document's score.
+P(vote | class), and so its accuracy, without trusting any of them. Junk has one labeller for every measure of a text and one
+for prose. Toxic has a lexicon of insults, a labeller of texts that heap them, and a vocabulary: tokens that documents with a
+bad label hold far more often than others, learned on one half of the sample and voting on the other, so that it never
+sees the label that it is compared with. The table of human labels, which covers some documents, is one more labeller,
+asked only in training. The posteriors are the soft targets of a linear scorer over hashed tokens: the words of the text,
+their first four, five and seven bytes, and the bucket that each measure of the text falls into. Tokens whose share among
+bad and good documents differs beyond ``Z`` standard errors, the ``TOKENS`` most telling ones, get weights by Newton's
+method with a quadratic penalty. Only text decides a document's score.
 
 The sample is ``SAMPLE`` documents chosen by a hash of the id, labelled ones first up to ``LABELLED`` of them. What
 reaches the driver is the sample's hashed tokens, what is broadcast is two vectors of ``SLOTS`` weights.
 
 Defined results: a null text or one without words is junk (probability 1, not toxic) and not kept; a null doc_id is
-scored and never sampled; several labels of a document vote by their means (ties: nothing); without anything to learn
-from, nothing but word-less texts is rejected; an empty table gives an empty result; other columns are ignored.
+scored and never sampled; several labels of a document vote by their means (ties: nothing); very long texts are read
+whole; without anything to learn from, nothing but word-less texts is rejected; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +44,9 @@ STORE = 150_000
 CHUNK = 500
 TASKS = ("junk", "toxic")
 ABSTAIN, GOOD, BAD = 0, 1, 2
-#: Largest share of wrong votes that is believed of the human labels.
-TRUSTED_ERROR = 0.02
+#: The vocabulary labeller: how much more often a token must be among bad than among other documents, and how many of them
+#: make a vote.
+FAR_MORE, SEVERAL = 20.0, 3
 
 #: Insults in English that the lexicon labellers look for.
 INSULTS = frozenset(b"clown disgusting dumb idiot idiots imbecile loser losers moron morons pathetic scum stupid trash worthless".split())
@@ -93,7 +98,32 @@ def votes(found: dict[str, float], words: set[bytes]) -> tuple[list[int], list[i
         junk.append(BAD if (value <= bad if low else value >= bad) else ABSTAIN)
         prose &= value >= good if low else value <= good
     junk.append(GOOD if prose and words else ABSTAIN)
-    return junk, [BAD if INSULTS & words else ABSTAIN]
+    insults = len(INSULTS & words)
+    return junk, [BAD if insults else ABSTAIN, BAD if insults > 1 and insults > 0.02 * len(words) else ABSTAIN]
+
+
+def vocabulary_votes(rows: list[np.ndarray], human: np.ndarray) -> np.ndarray:
+    """BAD where a document holds several of the tokens that the human BAD votes of the sample's other half point to."""
+    out, half = np.zeros(len(rows), np.uint8), np.arange(len(rows)) % 2
+    for own in (0, 1):
+        bad, rest = (np.flatnonzero((half != own) & cond) for cond in (human == BAD, human == GOOD))
+        if not len(bad) or not len(rest):
+            continue
+        p, q = (_share(rows, at) for at in (bad, rest))
+        pooled = (p * len(bad) + q * len(rest) + 1) / (len(bad) + len(rest) + 2)
+        z = (p - q) / np.sqrt(pooled * (1 - pooled) * (1 / len(bad) + 1 / len(rest)))
+        telling = (z >= Z) & (p >= FAR_MORE * q) & (p * len(bad) >= 3)
+        for i in np.flatnonzero(half == own):
+            out[i] = BAD if np.count_nonzero(telling[rows[i]]) >= SEVERAL else ABSTAIN
+    return out
+
+
+def _share(rows: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """For each slot, the share of some documents that hold it."""
+    found = np.zeros(SLOTS)
+    for k in range(0, len(at), CHUNK):
+        found += np.bincount(np.concatenate([rows[i] for i in at[k : k + CHUNK]]), minlength=SLOTS)
+    return found / len(at)
 
 
 def buckets(found: dict[str, float]) -> list[bytes]:
@@ -121,10 +151,9 @@ def tokens(text: str) -> tuple[np.ndarray, dict[str, float], set[bytes]]:
     return np.unique(np.fromiter(map(_slots.__getitem__, every), np.int32, len(every))), found, words
 
 
-def expect(vote: np.ndarray, rounds: int = 100, trusted: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, float]:
+def expect(vote: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """EM over votes (documents x labellers): posterior of bad, P(vote | class) as labellers x 2 x 3, and the prior.
-    Starts from the share of bad among the votes given, so that class 1 is the one that labellers call bad. A trusted
-    labeller is wrong in at most ``TRUSTED_ERROR`` of its votes, so one that alone sees a kind of document is heard."""
+    Starts from the share of bad among the votes given, so that class 1 is the one that labellers call bad."""
     n, m = vote.shape
     bad, n_votes = (vote == BAD).sum(axis=1), (vote != ABSTAIN).sum(axis=1)
     posterior = np.where(n_votes > 0, np.where(bad > 0, 0.5 + 0.49 * bad / np.maximum(1, n_votes), 0.02), 0.1)
@@ -134,11 +163,6 @@ def expect(vote: np.ndarray, rounds: int = 100, trusted: tuple[int, ...] = ()) -
         weight = np.stack([1 - posterior, posterior], axis=1)
         tables = np.einsum("nc,nmv->mcv", weight, one_hot) + 0.5
         tables /= tables.sum(axis=2, keepdims=True)
-        for k in trusted:
-            for cls, wrong, right in ((0, BAD, GOOD), (1, GOOD, BAD)):
-                given = tables[k, cls, wrong] + tables[k, cls, right]
-                tables[k, cls, wrong] = min(tables[k, cls, wrong], TRUSTED_ERROR * given)
-                tables[k, cls, right] = given - tables[k, cls, wrong]
         prior = float(np.clip(posterior.mean(), 1e-4, 1 - 1e-4))
         logs = np.einsum("nmv,mcv->nc", one_hot, np.log(tables)) + np.log([1 - prior, prior])
         new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
@@ -197,10 +221,36 @@ class Model:
 
     def probabilities(self, text: str | None) -> tuple[float, float]:
         """Of junk and of toxic."""
+        return Scorer(self).probabilities(text)
+
+
+class Scorer:
+    """A model's probabilities of many texts. Few tokens have weights, so words are kept by what they add: those that add
+    nothing, with any of their prefixes, are dropped from a text's words at once."""
+
+    def __init__(self, model: Model):
+        self.model, self.idle, self.slots = model, set(), {}
+        self.weighted = model.weights.any(axis=0)
+
+    def _of(self, word: bytes) -> tuple[int, ...]:
+        if len(self.idle) + len(self.slots) >= STORE:
+            self.idle.clear()
+            self.slots.clear()
+        own = tuple(k for t in (word, b"\x01" + word[:5], b"\x02" + word[:4], b"\x03" + word[:7]) if self.weighted[k := slot(t)])
+        if own:
+            self.slots[word] = own
+        else:
+            self.idle.add(word)
+        return own
+
+    def probabilities(self, text: str | None) -> tuple[float, float]:
         if not text or not text.split():
             return 1.0, 0.0
-        found = tokens(text)[0]
-        z = self.weights[:, found].sum(axis=1, dtype=np.float64) + self.bias
+        found, words = measures(text)
+        held = {k for t in buckets(found) if self.weighted[k := _slots[t]]}
+        for word in words - self.idle:
+            held.update(self.slots.get(word) or self._of(word))
+        z = self.model.weights[:, sorted(held)].sum(axis=1, dtype=np.float64) + self.model.bias
         junk, toxic = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         return float(junk), float(toxic)
 
@@ -237,7 +287,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None,
     weights, bias, accuracy = [], [], {}
     for task in TASKS:
         vote = np.frombuffer(b"".join(rows[task]), np.uint8).reshape(len(rows), -1)
-        posterior, tables, prior = expect(vote, trusted=(vote.shape[1] - 1,))
+        if task == "toxic":
+            vote = np.insert(vote, -1, vocabulary_votes(slots_, vote[:, -1]), axis=1)
+        posterior, tables, prior = expect(vote)
         right = (1 - prior) * tables[:, 0, GOOD] + prior * tables[:, 1, BAD]
         accuracy[task] = (right / np.maximum(1e-9, 1 - (1 - prior) * tables[:, 0, ABSTAIN] - prior * tables[:, 1, ABSTAIN])).tolist()
         w, b = learn(slots_, posterior)
@@ -251,7 +303,7 @@ def _judged(spark: SparkSession, docs: DataFrame, model: Model, thresholds: tupl
     shared = spark.sparkContext.broadcast(model)
 
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        own = Scorer(shared.value)
         for batch in texts:
             yield pd.DataFrame([own.probabilities(t) for t in batch], columns=["p_junk", "p_toxic"])
 

@@ -172,3 +172,65 @@ def test_recall_with_a_long_vector_outside_the_sample(spark, monkeypatch, times)
     found = {(r.query_id, r.vec_id) for r in got}
     true = {(q, int(i)) for q in range(0, 6000, 60) for i in np.argsort(-np.where(np.arange(6000) == q, -9, v @ v[q]))[:20]}
     assert len(found) == len(true) and len(found & true) / len(true) >= 0.95
+
+
+def test_scores_are_those_of_all_tokens(spark, tmp_path):
+    """Brute force over the query's rows: every token's weight, looked up one by one; also where the stores are emptied."""
+    rng = random.Random(21)
+    rows = documents(120, 22) + [(3000 + i, t + rng.choice([" you idiot", " STUPID moron!!", " $$$ ###"]), *rest) for i, (_, t, *rest) in enumerate(documents(60, 23))] + EDGE
+    write(spark.createDataFrame(rows, DOCS), tmp_path, "documents")
+    labels = spark.createDataFrame([(r[0], int("$" not in r[1]), int(r[0] >= 3000 and "$" not in r[1])) for r in rows[:180]], "doc_id long, quality int, toxic int")
+    write(labels, tmp_path, "labels")
+    model = quality.train(spark, spark.createDataFrame(rows, DOCS), labels)
+    assert model.weights.any(axis=1).all()
+
+    def plain(text):
+        if not text or not text.split():
+            return (1.0, 0.0)
+        found, words = quality.measures(text)
+        every = {quality.slot(t) for w in words for t in (w, b"\x01" + w[:5], b"\x02" + w[:4], b"\x03" + w[:7])} | {quality.slot(t) for t in quality.buckets(found)}
+        return tuple(1 / (1 + np.exp(-(sum(float(model.weights[k, s]) for s in sorted(every)) + model.bias[k]))) for k in (0, 1))
+
+    want = sorted((str(r[0]), *np.round(plain(r[1]), 6), bool(plain(r[1])[0] < 0.5 and plain(r[1])[1] < 0.25)) for r in rows)
+    got = queries.op7_quality_classifier(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), *np.round((r.p_junk, r.p_toxic), 6), r.kept) for r in got) == want
+    scorer = quality.Scorer(model)
+    for limit in (5, quality.STORE):
+        quality.STORE, kept = limit, quality.STORE
+        assert all(np.allclose(scorer.probabilities(r[1]), plain(r[1])) for r in rows)
+        quality.STORE = kept
+
+
+def test_the_vocabulary_votes_on_the_half_that_it_did_not_see():
+    rng = np.random.default_rng(2)
+    human = np.where(np.arange(400) < 80, quality.BAD, np.where(np.arange(400) < 300, quality.GOOD, quality.ABSTAIN)).astype(np.uint8)
+    order = rng.permutation(400)
+    human = human[order]
+    rows = [np.unique(np.concatenate([rng.integers(0, 500, 30), rng.choice(np.arange(1000, 1010), 5, replace=False) if order[i] < 80 or order[i] >= 380 else []])).astype(np.int64) for i in range(400)]
+    vote = quality.vocabulary_votes(rows, human)
+    assert set(np.flatnonzero(vote == quality.BAD)) == {i for i in range(400) if order[i] < 80 or order[i] >= 380}
+    assert not quality.vocabulary_votes(rows, np.zeros(400, np.uint8)).any()
+
+
+def test_languages_by_brute_force(spark, tmp_path):
+    """Plain sets of n-grams per language in place of the sliced filters; their false positives are rarer than the scores' lead."""
+    rows = documents(300, 31) + EDGE
+    docs = spark.createDataFrame(rows, DOCS)
+    write(docs, tmp_path, "documents")
+    held = {r.doc_id: r.held_out for r in docs.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out")).collect()}
+    known, counts = {}, {}
+    for doc_id, text, lang, *_ in rows:
+        if doc_id is not None and lang is not None and not held[doc_id]:
+            known.setdefault(lang, set()).update(language_id.grams(text)[0].tolist())
+            counts[lang] = counts.get(lang, 0) + 1
+    got = queries.op3_language_id(spark, str(tmp_path)).collect()
+    by = {(r.doc_id, r.lang_pred): r for r in got}
+    for doc_id, text, *_ in rows:
+        codes, any_letter = language_id.grams(text)
+        if not any_letter:
+            assert (doc_id, "und") in by
+            continue
+        share = {lang: np.mean([c in own for c in codes.tolist()]) if len(codes) else 0.0 for lang, own in known.items()}
+        best = max(share, key=lambda lang: (share[lang], counts[lang]))
+        rows_ = [r for r in got if r.doc_id == doc_id]
+        assert any(r.lang_pred == best and abs(r.score - share[best]) < 0.01 for r in rows_)
