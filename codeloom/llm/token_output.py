@@ -7,10 +7,12 @@ Spark reaches can hold; an image by itself is a complete file (see ``wavelet``).
 
 The place of a document in the whole stream is its partition's start, plus the tokens of earlier shards of the
 partition, which a shard's row tells, plus its place in the shard; starts are sums over one row per partition.
-The number of partitions is ``spark.sql.shuffle.partitions``.
+The number of partitions is ``spark.sql.shuffle.partitions``. Ranges are cut by id, hash of the text and the row's place in
+its input, so rows without an id, or of one repeated id, are dealt over as many tasks as they need.
 
-Defined results: a null text is empty and holds the end id alone; a null doc_id sorts first; rows that repeat a
-doc_id follow each other in order of text; an empty table has no shard and no rows; other columns are ignored.
+Defined results: a null text is empty and holds the end id alone; a very long text is one document of one shard, read whole;
+a null doc_id sorts first; rows that repeat a doc_id, or have none, follow each other in order of a hash of the text; an
+empty table has no shard and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
     """The table of shard images of docs (doc_id, text), stored in the shared folder."""
     prepare(spark)
     ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = ordered.withColumn("_mix", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    ordered = ordered.repartitionByRange("doc_id", "_mix", "_row").sortWithinPartitions("doc_id", "_mix", "_row")
     end = np.array([end_id], "<u4").tobytes()
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
