@@ -12,7 +12,11 @@ so a host with a third of the pages is an ordinary skewed equi-join that Spark c
 
 Defined results: a null url or one without ``://`` has empty host and path and is judged like any host; a label
 whose quality and toxic are both null is no outcome; several labels of a page each count; without any labels
-the prior is 1/2 with no evidence, which blocks nothing; an empty table gives an empty result.
+the prior is 1/2 with no evidence, which blocks nothing; a very long url is read whole; an empty table gives an empty
+result; other columns are ignored.
+
+Suffixes of more than one label are the parameter ``multi``; its default is short, and a deployment passes the public suffix
+list of its day. Host counts are stored once, and all levels read them.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ascii_lower
+from codeloom.llm.common import ascii_lower, materialise
 
 #: (verdict, rule); a rule is host/path and fits the host and its subdomains where the path starts with its path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -89,7 +93,7 @@ def host_scores(hosts: DataFrame, z: float = Z) -> DataFrame:
     return leaves.select("host", F.col("mean").alias("bad_rate"), (F.col("mean") - z * sd).alias("bad_bound"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, z: float = Z, multi: Sequence[str] = MULTI_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_bound per page."""
     host, path = split_url(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -97,8 +101,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]]
     bad = (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("long")
     outcomes = known.groupBy(F.col("doc_id").alias("page_id")).agg(F.sum(bad).alias("bad"), F.count("*").alias("n"))
     counts = urls.select("page_id", "host").join(outcomes, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    domain, suffix = domain_columns(F.col("host"))
-    scores = host_scores(counts.select("host", domain.alias("domain"), suffix.alias("suffix"), "bad", "n"), z)
+    domain, suffix = domain_columns(F.col("host"), multi)
+    hosts = materialise(pages.sparkSession, counts.select("host", domain.alias("domain"), suffix.alias("suffix"), "bad", "n"), "reputation-hosts")
+    scores = materialise(pages.sparkSession, host_scores(hosts, z), "reputation-scores")
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_bound") > threshold, "block").otherwise("allow")
     return urls.join(scores, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bad_bound")
