@@ -5,11 +5,13 @@ shard; the lowest score owns the key. A further shard adds one more score and ch
 take rows into itself. Only the key and narrow measures of a row are shuffled, never its text.
 
 Slots are gapless per shard without a window over a whole shard: a second hash deals each shard into ``fine``
-buckets, the buckets' counts (shards x fine rows, a bound that the data does not move) become offsets, and ranks
-are taken inside a bucket.
+buckets, the buckets' counts (shards x fine rows, a bound that the data does not move) become offsets, and places
+are taken inside a bucket. Equal rows are one row with a count until they have their slots, and the second hash is of all
+that is carried, so neither rows without a key nor one repeated row fill a bucket.
 
 Defined results: a null key is a key of its own; equal keys share a shard and get different slots; a null text
-has size 1 and the checksum 0 of no bytes; an empty table gives an empty result; other columns are ignored.
+has size 1 and the checksum 0 of no bytes; a very long text is read whole; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,13 +43,16 @@ def rendezvous(key: Column, weights: Sequence[float], salt: str = "shard") -> Co
 def shard(df: DataFrame, key: str, weights: Sequence[float], carry: Sequence[Column] = (), grown: Sequence[float] | None = None, fine: int = FINE) -> DataFrame:
     """key, the carried columns, shard, slot and, with ``grown`` weights, the shard under those."""
     own = F.col(key)
-    fine_of = F.conv(F.substring(F.md5(F.concat(F.lit("slot:"), F.coalesce(own.cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("long") % fine
     extra = [rendezvous(own, grown).alias("grown_shard")] if grown else []
-    placed = df.select(own.alias(key), *carry, rendezvous(own, weights).alias("shard"), *extra, fine_of.cast("int").alias("_fine"))
-    counts = df.select(rendezvous(own, weights).alias("shard"), fine_of.cast("int").alias("_fine")).groupBy("shard", "_fine").agg(F.count("*").alias("_n"))
+    rows = df.select(own.alias(key), *carry)
+    equal = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    fine_of = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(fine)).cast("int")
+    placed = equal.select("*", rendezvous(F.col(key), weights).alias("shard"), *extra, fine_of.alias("_fine"))
+    counts = placed.groupBy("shard", "_fine").agg(F.sum("_n").alias("_all"))
     running = Window.partitionBy("shard").orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_fine", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_start"))
-    order = [F.col(key), *[F.col(c) for c in placed.columns if c not in (key, "shard", "grown_shard", "_fine")]]
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("shard", "_fine").orderBy(*order)))
+    starts = counts.select("shard", "_fine", F.coalesce(F.sum("_all").over(running), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("shard", "_fine").orderBy(*rows.columns).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     joined = ranked.join(F.broadcast(starts), ["shard", "_fine"])
-    return joined.withColumn("slot", F.col("_start") + F.col("_rank") - 1).drop("_fine", "_rank", "_start")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+    return joined.withColumn("_copy", copies).withColumn("slot", F.col("_start") + F.col("_before") + F.col("_copy")).drop("_fine", "_n", "_before", "_start", "_copy")

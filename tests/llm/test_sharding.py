@@ -42,3 +42,17 @@ def test_nulls_repeats_clashing_names_and_empty(spark, tmp_path):
     assert len({(r.shard, r.slot) for r in rows}) == 5
     empty = spark.createDataFrame([], SCHEMA)
     assert sharding.shard(empty.select("doc_id", F.lit(1).alias("n")), "doc_id", [1.0] * 8).count() == 0
+
+
+def test_every_key_by_brute_force_and_one_row_in_a_third_of_all(spark):
+    rng = list(range(900))
+    keys = [k * 7919 for k in rng] + [None] * 300 + [5] * 300
+    rows = [(k, "t" * (i % 11 if k is None else 3), "x", i) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string, slot int")
+    got = sharding.shard(df, "doc_id", [1.0] * 8, [F.length("text").cast("long").alias("size")], grown=[1.0] * 9).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.shard == owner(r.doc_id, [1.0] * 8) and r.grown_shard == owner(r.doc_id, [1.0] * 9)
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert sorted((str(r.doc_id), r.size) for r in got) == sorted((str(k), len(t)) for k, t, *_ in rows)
