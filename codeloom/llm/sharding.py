@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import materialise
+
 FINE = 512
 
 
@@ -47,7 +49,7 @@ def shard(df: DataFrame, key: str, weights: Sequence[float], carry: Sequence[Col
     rows = df.select(own.alias(key), *carry)
     equal = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
     fine_of = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(fine)).cast("int")
-    placed = equal.select("*", rendezvous(F.col(key), weights).alias("shard"), *extra, fine_of.alias("_fine"))
+    placed = materialise(df.sparkSession, equal.select("*", rendezvous(F.col(key), weights).alias("shard"), *extra, fine_of.alias("_fine")), "sharding-rows")
     counts = placed.groupBy("shard", "_fine").agg(F.sum("_n").alias("_all"))
     running = Window.partitionBy("shard").orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_fine", F.coalesce(F.sum("_all").over(running), F.lit(0)).alias("_start"))
