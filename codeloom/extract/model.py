@@ -29,8 +29,9 @@ class Source:
             at = data.find(b"\n", at + 1)
 
     def at(self, line: int, column: int) -> int:
-        """Offset of a 1-based line and a 0-based byte column."""
-        return self.lines[line - 1] + column
+        """Offset of a 1-based line and a 0-based byte column, at most the line's end."""
+        end = self.lines[line] - 1 if line < len(self.lines) else len(self.data)
+        return min(self.lines[line - 1] + column, end)
 
     def location(self, start: int, end: int) -> dict:
         first, last = bisect_right(self.lines, start), bisect_right(self.lines, end)
@@ -58,6 +59,8 @@ class Extraction:
     scheme: str = SCHEME
     symbols: list[dict] = field(default_factory=list)
     relationships: list[dict] = field(default_factory=list)
+    #: What an extractor could not read of the file, in words.
+    left_out: str | None = None
 
     def moniker(self, kind: str, name: str, owner: str | None = None) -> str:
         tail = (f"{owner}#" if kind == "method" else "") + name + SUFFIXES[kind]

@@ -1,55 +1,147 @@
 """Symbols and relationships of Python files, from the standard library's syntax tree.
 
-Its columns count UTF-8 bytes, so places and hashes are those of the file's bytes. A file with a syntax error is
-salvaged: the top-level block that holds the error is blanked and the rest is read; the module symbol is always there.
+Its columns count UTF-8 bytes, so places and hashes are those of the file's bytes. A file with a syntax error is read block
+by block: in a block that does not parse, the line of each error is put out of the way by a word of its length, or with
+what depends on it, until the rest parses. Print statements and handlers of Python 2 are rewritten in place. The lines that are
+left out are reported; the module symbol is always there.
 """
 
 from __future__ import annotations
 
 import ast
+import codecs
 import io
+import re
 import tokenize
 
 from codeloom.extract.model import Extraction, Source, calls_in_order, parameter
 
-SALVAGES = 50
+#: Errors that are mended in one top-level block; what is left of it after so many is left out, and reported.
+MENDS = 2_000
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.IfExp, ast.match_case)
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _BOM = b"\xef\xbb\xbf"
 
 
-def _readable(data: bytes) -> bytes:
-    """The bytes with whatever is no UTF-8, or no source text, replaced byte for byte."""
-    data = data.replace(b"\x00", b" ")
-    while True:
-        try:
-            data.decode("utf-8")
-            return data
-        except UnicodeDecodeError as e:
-            data = data[: e.start] + b"?" * (e.end - e.start) + data[e.end :]
+codecs.register_error("codeloom.marks", lambda e: ("?" * (e.end - e.start), e.end))
 
 
-def _parse(data: bytes) -> tuple[ast.Module, bool]:
-    """The tree and whether something had to be left out."""
-    lines, salvaged = data.split(b"\n"), False
-    for _ in range(SALVAGES):
+def _readable(data: bytes) -> bytes:
+    """The bytes with whatever is no UTF-8, or no source text, replaced byte for byte."""
+    return data.replace(b"\x00", b" ").decode("utf-8", "codeloom.marks").encode()
+
+
+#: Strings and comments; a triple quote that is never closed runs to the end.
+_QUIET = re.compile(rb"""#[^\n]*|(?P<open>\"{3}|'{3})(?:(?:\\.|(?!(?P=open)).)*(?P=open)|(?P<rest>.*))|'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*\"""", re.S)
+_ANCHOR = re.compile(rb"(?:async\s+def|def|class|import|from)\b|@")
+_FOLLOWS = re.compile(rb"(?:elif|else|except|finally)\b|[)\]}]")
+_COMPOUND = re.compile(rb"(?:if|for|while|with|try|elif|else|except|finally|match|case|async\s+(?:for|with))\b")
+_DEFINES = re.compile(rb"(?:async\s+def|def|class)\b")
+_PRINTS = re.compile(rb"(\s*)print(\s+)([^\s=(.,\[:)>#][^#]*?|\"[^#]*?)(\s*)")
+_HANDLES = re.compile(rb"(\s*except\s+(?:[\w.]+|\([^()]*\)))(\s*,\s*\w+)(\s*:.*)", re.S)
+
+
+def _top_blocks(data: bytes) -> tuple[list[int], int | None]:
+    """Rows on which top-level blocks start, outside of strings and brackets, and the row of a triple quote that is never
+    closed. A definition or an import in the first column starts a block even where a bracket seems to be open."""
+    quiet = bytearray(data)
+    unclosed = None
+    for m in _QUIET.finditer(data):
+        if m.group("rest") is not None:
+            unclosed = data.count(b"\n", 0, m.start())
+        quiet[m.start() : m.end()] = re.sub(rb"[^\n]", b" ", m.group()) if m.start() and data[m.start() - 1 : m.start()] != b"\n" else b"_" + re.sub(rb"[^\n]", b" ", m.group()[1:])
+    starts, depth, joined = [], 0, False
+    for row, line in enumerate(bytes(quiet).split(b"\n")):
+        if line[:1].strip() and not _FOLLOWS.match(line) and ((depth == 0 and not joined) or _ANCHOR.match(line)):
+            starts.append(row)
+            depth = 0
+        depth = max(0, depth + sum(line.count(c) for c in (b"(", b"[", b"{")) - sum(line.count(c) for c in (b")", b"]", b"}")))
+        joined = line.endswith(b"\\") or (line.startswith(b"@") and bool(starts))
+    return starts, unclosed
+
+
+def _indent(line: bytes) -> int:
+    return len(line) - len(line.lstrip())
+
+
+def _word(line: bytes) -> bytes:
+    """A name as long as the line's text, in its place."""
+    return line[: _indent(line)] + b"_" * len(line.strip())
+
+
+def _mend(lines: list[bytes], row: int, seen: dict[int, int]) -> None:
+    """Put the statement of a row out of the way; each time that a row fails again, more goes with it."""
+    while row > 0 and (not lines[row].strip() or seen.get(row, 0) > 2):
+        row -= 1
+    line, seen[row] = lines[row], seen.get(row, 0) + 1
+    text = line.strip()
+    if _COMPOUND.match(text) and seen[row] == 1:
+        lines[row] = line[: _indent(line)] + b"if 1:"
+    elif seen[row] == 1 and not _DEFINES.match(text):
+        lines[row] = _word(line)
+    else:
+        end = row + 1
+        while end < len(lines) and (not lines[end].strip() or _indent(lines[end]) > _indent(line)):
+            end += 1
+        first = row
+        while first > 0 and lines[first - 1].strip().startswith(b"@") and _indent(lines[first - 1]) == _indent(line):
+            first -= 1
+        for k in range(first, end):
+            if lines[k].strip():
+                seen[k] = max(1, seen.get(k, 0))
+            lines[k] = b""
+        if seen[row] < 3:
+            lines[row] = _word(line)
+
+
+def _block(lines: list[bytes]) -> tuple[ast.Module, set[int]]:
+    """The tree of one block, and the rows that were left out of it."""
+    seen: dict[int, int] = {}
+    for attempt in range(MENDS):
         try:
-            return ast.parse(b"\n".join(lines).decode("utf-8")), salvaged
+            return ast.parse(b"\n".join(lines).decode("utf-8")), set(seen)
         except SyntaxError as e:
-            salvaged = True
+            if attempt == 0:
+                for k, line in enumerate(lines):
+                    if m := _PRINTS.fullmatch(line):
+                        lines[k] = m[1] + b"_    " + m[2][:-1] + b"[" + m[3] + b"]"
+                    elif m := _HANDLES.fullmatch(line):
+                        lines[k] = m[1] + b" " * len(m[2]) + m[3]
             row = min(max((e.lineno or 1) - 1, 0), len(lines) - 1)
-            starts = [i for i, line in enumerate(lines) if line[:1].strip() and line[:1] not in b"#)]}"]
-            first = max((i for i in starts if i <= row), default=0)
-            if not any(line.strip() for line in lines[first : row + 1]):
-                break
-            end = min((i for i in starts if i > row), default=len(lines))
-            # A decorator line is a block start of its own, so what it decorates must go with it.
-            while first > 0 and lines[first - 1].startswith(b"@"):
-                first -= 1
-            lines[first:end] = [b"" for _ in lines[first:end]]
         except (RecursionError, MemoryError, ValueError):
-            break
-    return ast.Module(body=[], type_ignores=[]), True
+            row = max(range(len(lines)), key=lambda k: len(lines[k]))
+        if attempt:
+            _mend(lines, row, seen)
+    return ast.Module(body=[], type_ignores=[]), set(range(len(lines)))
+
+
+def _parse(data: bytes) -> tuple[ast.Module, list[int]]:
+    """The tree, and the rows that were left out of it."""
+    try:
+        return ast.parse(data.decode("utf-8")), []
+    except (SyntaxError, RecursionError, MemoryError, ValueError):
+        lines, left, body = data.split(b"\n"), [], []
+    starts, unclosed = _top_blocks(data)
+    end = len(lines)
+    if unclosed is not None:
+        left += range(unclosed, end)
+        lines[unclosed:] = [b""] * (end - unclosed)
+    for first, stop in zip(starts, [*starts[1:], end], strict=True):
+        tree, lost = _block(lines[first:stop])
+        body += ast.increment_lineno(tree, first).body
+        left += [first + k for k in lost]
+    return ast.Module(body=body, type_ignores=[]), sorted(set(left))
+
+
+def _spans(rows: list[int]) -> str:
+    """1-based line ranges of sorted rows."""
+    out: list[list[int]] = []
+    for row in rows:
+        if out and out[-1][1] == row:
+            out[-1][1] = row + 1
+        else:
+            out.append([row + 1, row + 1])
+    return ", ".join(str(a) if a == b else f"{a}-{b}" for a, b in out)
 
 
 class _Reader:
@@ -170,7 +262,8 @@ def extract(path: str, data: bytes, repo: str, scheme: str = "loom", future_impo
     out = Extraction("python", path, repo, Source(data), scheme)
     clean = _readable(data)
     mark = len(_BOM) if clean.startswith(_BOM) else 0
-    tree, _ = _parse(clean[mark:])
+    tree, left = _parse(clean[mark:])
+    out.left_out = f"left out lines {_spans(left)}" if left else None
     reader = _Reader(out, clean, mark)
     qualified = out.module.replace("/", ".")
     module = out.module_symbol(qualified, reader.docstring(tree.body))
@@ -179,17 +272,18 @@ def extract(path: str, data: bytes, repo: str, scheme: str = "loom", future_impo
     functions: list[tuple[ast.AST, ast.ClassDef | None]] = []
     imports: list[ast.AST] = []
 
-    def visit(node: ast.AST, scope: ast.AST | None) -> None:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, ast.ClassDef):
-                classes.append(child)
-            elif isinstance(child, _DEFS) and not isinstance(scope, _DEFS):
-                functions.append((child, scope))
-            elif isinstance(child, (ast.Import, ast.ImportFrom)):
-                imports.append(child)
-            visit(child, child if isinstance(child, (ast.ClassDef, *_DEFS)) else scope)
-
-    visit(tree, None)
+    # A walk with its own stack: expressions may be nested deeper than calls can be.
+    todo: list[tuple[ast.AST, ast.AST | None]] = [(tree, None)]
+    while todo:
+        node, scope = todo.pop()
+        if isinstance(node, ast.ClassDef):
+            classes.append(node)
+        elif isinstance(node, _DEFS) and not isinstance(scope, _DEFS):
+            functions.append((node, scope))
+        elif isinstance(node, (ast.Import, ast.ImportFrom)):
+            imports.append(node)
+        inner = node if isinstance(node, (ast.ClassDef, *_DEFS)) else scope
+        todo += [(child, inner) for child in reversed(list(ast.iter_child_nodes(node)))]
     rows: dict[ast.ClassDef, dict] = {}
     for node in classes:
         start, end = reader.span(node)

@@ -23,7 +23,8 @@ FILES_AT_ONCE = 50
 
 
 def extract_one(repo: str, path: str, language: str, content: bytes | None, error: str | None, registry: dict[str, Extractor]) -> dict:
-    """The EXTRACTION row of one file; whatever an extractor raises becomes the row's error."""
+    """The EXTRACTION row of one file; whatever an extractor raises becomes the row's error. A file of which parts could not be
+    read has the status partial, and its error tells which."""
     row = {"repo_name": repo, "path": path, "language": language, "status": "failed", "error": error, "size_bytes": None, "hash": None, "symbols": [], "relationships": []}
     if content is None:
         return row
@@ -32,7 +33,7 @@ def extract_one(repo: str, path: str, language: str, content: bytes | None, erro
         found = registry[language](path, content, repo)
     except Exception as e:  # noqa: BLE001  one file must not end the run
         return row | {"error": f"{type(e).__name__}: {e}"}
-    return row | {"status": "ok", "error": None, "symbols": found.symbols, "relationships": found.relationships}
+    return row | {"status": "partial" if found.left_out else "ok", "error": found.left_out, "symbols": found.symbols, "relationships": found.relationships}
 
 
 def extract(files: DataFrame, registry: dict[str, Extractor] | None = None) -> DataFrame:
@@ -60,13 +61,18 @@ def relationships_of(extracted: DataFrame) -> DataFrame:
 
 
 def files_of(extracted: DataFrame) -> DataFrame:
-    return extracted.where("status = 'ok'").select("path", "language", "size_bytes", "hash", "repo_name")
+    return extracted.where("status in ('ok', 'partial')").select("path", "language", "size_bytes", "hash", "repo_name")
 
 
 def failures_of(extracted: DataFrame) -> DataFrame:
     return extracted.where("status = 'failed'").select("path", "error", "repo_name")
 
 
+def partial_of(extracted: DataFrame) -> DataFrame:
+    """Files that are in the result with a part left out."""
+    return extracted.where("status = 'partial'").select("path", F.col("error").alias("left_out"), "repo_name")
+
+
 def register_udtf(spark: SparkSession, name: str = "extract_symbols") -> None:
     """SQL: SELECT * FROM extract_symbols('repo', 'a/b.py', 'python', content)."""
     from pyspark.sql.functions import udtf

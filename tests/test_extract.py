@@ -235,3 +235,38 @@ interface Shape { again(): void }
     assert [t for a, t, _ in rels(out, "calls") if a == "Foo#constructor()."] == ["init"]
     assert len([1 for a, t, _ in rels(out, "contains") if t == "Foo#m()."]) == 1
     assert [(t, m.get("import_form"), m.get("re_export")) for _, t, m in rels(out, "imports")] == [("fs", "default", None), ("read", "named", None), ("*", "namespace", None), ("a", None, True), ("*", None, True)]
+
+
+def names_and_left_out(code):
+    out = python_source.extract("a.py", code, "r")
+    return list(by_tail(out)), out.left_out
+
+
+def test_python_files_with_errors_lose_only_what_is_broken():
+    member = b"class A:\n    def a(self):\n        return 1\n    def b(self:\n        return 2\n    @deco\n    def c(self):\n        return f(3)\n\ndef z():\n    pass\n"
+    assert names_and_left_out(member) == (["a/", "A#", "A#a().", "A#c().", "z()."], "left out lines 4-5")
+    many = b"".join(b"def bad%d(:\n    pass\ndef good%d():\n    return 1\n" % (i, i) for i in range(80))
+    assert names_and_left_out(many)[0] == ["a/", *(f"good{i}()." for i in range(80))]
+    unclosed = b'def f():\n    return 1\nx = """open\ndef g():\n    pass\n'
+    assert names_and_left_out(unclosed) == (["a/", "f()."], "left out lines 3-6")
+    deep = b"def f():\n    return 1\nx = " + b"+".join([b"1"] * 20000) + b"\ndef g():\n    return " + b"(" * 300 + b")" * 300 + b"\ndef h(): pass\n"
+    assert names_and_left_out(deep) == (["a/", "f().", "g().", "h()."], "left out lines 3, 5")
+    assert names_and_left_out(b"def f():\n    return 1\n\xff\xff\xff\n") == (["a/", "f()."], "left out lines 3")
+    assert names_and_left_out(member.replace(b"self:", b"self):"))[1] is None
+
+
+def test_python_two_files_keep_their_functions_and_calls():
+    code = b"import os\ndef f(x):\n    print \"x %s\" % g(x)\n    try:\n        y()\n    except ValueError, e:\n        raise\n\nclass B:\n    def m(self):\n        print 'a', h(1)\n        exec 'code'\n        return 2\n"
+    out = python_source.extract("a.py", code, "r")
+    s = by_tail(out)
+    assert set(s) == {"a/", "B#", "f().", "B#m()."} and out.left_out == "left out lines 12"
+    assert [t for _, t, _ in rels(out, "calls")] == ["y", "g", "h"]
+    f = s["f()."]["location"]
+    assert code[f["byte_start"] : f["byte_end"]].endswith(b"except ValueError, e:\n        raise") and s["f()."]["body_hash"] == sha(code[code.index(b"print") : f["byte_end"]])
+    prints = b"class A:\n" + b"".join(b"    def m%d(self):\n        print >>f, 1\n        return 1\n" % i for i in range(300))
+    assert len(names_and_left_out(prints)[0]) == 302
+
+
+def test_expressions_nested_deeper_than_calls_can_be():
+    code = b"def f():\n    return " + b"a." * 900 + b"b(1)\n"
+    assert names_and_left_out(code) == (["a/", "f()."], None)
