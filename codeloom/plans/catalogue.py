@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import chunks, vectors
 from codeloom.functions import identity as ident
 from codeloom.operators import graph, jobs, ranking
+from codeloom.plans import made_code
 from codeloom.schemas import JOBS
 from codeloom.session import table
 
@@ -662,84 +663,45 @@ def class_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- extraction, on code made from the tables
 
 
-def _code(spark: SparkSession, sf_dir: str, language: str, template: str) -> DataFrame:
+def _code(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
     """One file per customer; its name and segment vary the code."""
     c = table(spark, sf_dir, "customer")
-    ext = {"python": ".py", "go": ".go", "typescript": ".ts"}[language]
+    template, ext = made_code.TEMPLATES[language]
     text = F.replace(F.replace(F.lit(template), F.lit("@K"), F.col("c_custkey").cast("string")), F.lit("@S"), F.initcap("c_mktsegment"))
     path = F.concat(F.lit("src/f"), F.col("c_custkey"), F.lit(ext))
     files = c.select(F.lit("made").alias("repo_name"), path.alias("path"), F.lit(language).alias("language"), text.cast("binary").alias("content"), F.lit(None).cast("string").alias("error"))
     return files.repartition(max(1, spark.sparkContext.defaultParallelism))  # parsing is the work, and the table may be one file
 
 
-PYTHON_CODE = '''"""Module @K."""
-from base import Root as R
-LIMIT: int = @K
-
-class @SBase(R):
-    def run(self, n: int = 1) -> int:
-        """Run it."""
-        if n and n > @K:
-            return self.walk(n)
-        return helper(n)
-
-def helper(n):
-    return R.of(n)
-'''
-GO_CODE = """package made@K
-
-import "fmt"
-
-// @SBase is made.
-type @SBase struct {
-	Root
-}
-
-func (b *@SBase) Run(n, m int) error {
-	if n > 1 && m > 2 {
-		return fmt.Errorf("x")
-	}
-	return nil
-}
-"""
-TYPESCRIPT_CODE = """import { Root } from './root';
-/** Made. */
-export class @SBase extends Root {
-  async run(n: number): Promise<void> { if (n) { this.walk(n); } }
-}
-export const LIMIT: number = @K;
-"""
-
-
-def _extracted(language: str, template: str) -> Query:
+def _extracted(language: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from codeloom.extract import udtf
 
-        symbols = udtf.symbols_of(udtf.extract(_code(spark, sf_dir, language, template)))
+        symbols = udtf.symbols_of(udtf.extract(_code(spark, sf_dir, language)))
         return symbols.select("id", "kind", "qualified_name", "location.byte_start", "location.byte_end", "body_hash", "signature", "complexity")
 
     run.__doc__ = f"Symbols of one made {language} file per customer."
     return run
 
 
-for _language, _template in (("python", PYTHON_CODE), ("go", GO_CODE), ("typescript", TYPESCRIPT_CODE)):
-    query(f"extract_{_language}")(_extracted(_language, _template))
+for _language in made_code.TEMPLATES:
+    query(f"extract_{_language}", made_code.symbols_sql(_language))(_extracted(_language))
 
 
-@query("function_chunk")
+@query("function_chunk", made_code.chunks_sql())
 def function_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of everything embeddable in the made Python files."""
     from codeloom.extract import udtf
 
-    extracted = udtf.extract(_code(spark, sf_dir, "python", PYTHON_CODE)).persist()  # read by four branches
+    extracted = udtf.extract(_code(spark, sf_dir, "python")).persist()  # read by four branches
     return chunks.build(udtf.symbols_of(extracted), udtf.relationships_of(extracted))
 
 
-@query("graph_json")
+@query("graph_json", made_code.relationships_sql())
 def graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relationships of the made Python files as the export orders them."""
     from codeloom.extract import udtf
     from codeloom.plans.export import ordered_relationships
 
-    extracted = udtf.extract(_code(spark, sf_dir, "python", PYTHON_CODE))
+    extracted = udtf.extract(_code(spark, sf_dir, "python"))
     return ordered_relationships(udtf.relationships_of(extracted)).select("source_id", "kind", "is_resolved", "target_id", "target_name")
