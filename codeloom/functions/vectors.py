@@ -59,6 +59,27 @@ class Embedder(ABC):
     def usage_stats(self) -> dict | None:
         return None
 
+    def usage_of(self, tokens: int, requests: int) -> dict | None:
+        """What ``usage_stats`` says of so many tokens and requests, wherever they were made."""
+        return None
+
+    def measured(self, text: Column | str) -> Column:
+        """As ``column``, with what it used: a struct of embedding, tokens and requests, the last two on the first row of a batch.
+        Executors have copies of the embedder, so its own counters stay where the work is done."""
+        embedder = self
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                before = embedder.usage_stats() or {}
+                vectors = list(embedder.embed(batch.fillna("").tolist()))
+                after = embedder.usage_stats() or {}
+                used = [after.get(k, 0) - before.get(k, 0) for k in ("total_tokens", "requests")]
+                first = np.arange(len(batch)) == 0
+                yield pd.DataFrame({"embedding": vectors, "tokens": first * used[0], "requests": first * used[1]})
+
+        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+        return F.pandas_udf(run, "embedding array<float>, tokens long, requests long")(text)
+
     def column(self, text: Column | str) -> Column:
         """The vectors of a text column, a batch at a time."""
         embedder = self
@@ -119,8 +140,11 @@ class RemoteEmbedder(Embedder):
         return out
 
     def usage_stats(self) -> dict:
+        return self.usage_of(self.tokens, self.requests)
+
+    def usage_of(self, tokens: int, requests: int) -> dict:
         per_million = float(os.environ.get("EMBEDDING_USD_PER_1M_TOKENS") or RATES.get(self.model, DEFAULT_RATE))
-        return {"model": self.model, "total_tokens": self.tokens, "requests": self.requests, "estimated_cost_usd": round(self.tokens / 1e6 * per_million, 8)}
+        return {"model": self.model, "total_tokens": tokens, "requests": requests, "estimated_cost_usd": round(tokens / 1e6 * per_million, 8)}
 
 
 class LocalEmbedder(Embedder):

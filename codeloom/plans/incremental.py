@@ -21,6 +21,7 @@ from codeloom.sources import git
 from codeloom.sources.gitignore import Rules
 from codeloom.sources.repository import indexable, walk
 from codeloom.storage.snapshot import SnapshotStore
+from codeloom.storage.vectors import VectorStore
 
 THRESHOLD, LEAST_FILES = 0.5, 2
 
@@ -56,6 +57,7 @@ def update(spark: SparkSession, root: str | Path, url: str, repo: str, store: Sn
     ``strict_checkpoint`` files that fail keep the old commit on record, so the next run tries them again.
     """
     embedder = embedder or FixtureEmbedder()
+    VectorStore(store, embedder.dimensions).check()
     old, new = store.last_sha(repo), git.head_sha(root)
     if old is None or git.UNKNOWN in (old, new):
         return _full(spark, root, url, repo, store, embedder, old, new, gitignore)
@@ -100,7 +102,7 @@ def update(spark: SparkSession, root: str | Path, url: str, repo: str, store: Sn
     wanted = now.join(to_embed, "id", "left_semi")
     methods_of = now.where("kind = 'method'").join(to_embed.select(F.col("id").alias("enclosing_class_id")), "enclosing_class_id", "left_semi").select(*now.columns)
     scope = wanted.unionByName(methods_of).dropDuplicates(["id"])
-    vectors = index.embed(scope, graph.affected(all_relationships, to_embed), embedder).join(to_embed.select(F.col("id").alias("moniker")), "moniker", "left_semi")
+    vectors = index.embed(scope, graph.affected(all_relationships, to_embed), embedder).join(to_embed.select(F.col("id").alias("moniker")), "moniker", "left_semi").select("moniker", "embedding")
     old_vectors = store.read("embeddings", repo)
     still = graph.without(old_vectors, to_embed, "moniker").join(now.select(F.col("id").alias("moniker")), "moniker", "left_semi").select(*old_vectors.columns)
     stamped = vectors.withColumn("indexed_at", F.current_timestamp()).withColumn("repo_name", F.lit(repo))

@@ -70,8 +70,9 @@ def unique_symbols(symbols: DataFrame, on_duplicate: str) -> DataFrame:
 
 
 def embed(symbols: DataFrame, relationships: DataFrame, embedder: Embedder) -> DataFrame:
+    """moniker, embedding, and the tokens and requests that it took."""
     built = chunks.build(symbols, relationships)
-    return built.select("moniker", embedder.column("chunk").alias("embedding"))
+    return built.select("moniker", embedder.measured("chunk").alias("made")).select("moniker", "made.embedding", "made.tokens", "made.requests")
 
 
 def extract_repository(spark: SparkSession, root: str | Path, repo: str, gitignore: bool = True, paths: list[str] | None = None) -> DataFrame:
@@ -79,13 +80,20 @@ def extract_repository(spark: SparkSession, root: str | Path, repo: str, gitigno
     return udtf.extract(read_repository(spark, root, repo, gitignore, paths)).persist()
 
 
-def build(spark: SparkSession, root: str | Path, url: str, repo: str, embedder: Embedder | None = None, gitignore: bool = True, on_duplicate: str = "first") -> IndexResult:
-    """Index a checkout without storing anything."""
+def build(spark: SparkSession, root: str | Path, url: str, repo: str, embedder: Embedder | None = None, gitignore: bool = True, on_duplicate: str = "first", store: SnapshotStore | None = None) -> IndexResult:
+    """Index a checkout without publishing anything. Vectors are made once, as a provider is paid for them: kept in a folder of
+    the store where there is one, else cached."""
     extracted = extract_repository(spark, root, repo, gitignore)
     symbols = unique_symbols(udtf.symbols_of(extracted), on_duplicate)
     symbols, relationships = link_go_methods(symbols, udtf.relationships_of(extracted))
     embedder = embedder or FixtureEmbedder()
-    return IndexResult(repo, url, git.head_sha(root), udtf.files_of(extracted), symbols, relationships, udtf.failures_of(extracted), embed(symbols, relationships, embedder), embedder.usage_stats())
+    made = embed(symbols, relationships, embedder)
+    made = store.staged(made) if store else made.persist()
+    usage = None
+    if embedder.usage_stats() is not None:
+        used = made.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("requests"), F.lit(0))).first()
+        usage = embedder.usage_of(*used)
+    return IndexResult(repo, url, git.head_sha(root), udtf.files_of(extracted), symbols, relationships, udtf.failures_of(extracted), made.select("moniker", "embedding"), usage)
 
 
 def publish(store: SnapshotStore, result: IndexResult) -> int:
@@ -104,7 +112,7 @@ def full_index(spark: SparkSession, root: str | Path, url: str, repo: str, store
     """Build, export and publish: artifacts first, then the snapshot of vectors and graph."""
     from codeloom.plans.export import export
 
-    result = build(spark, root, url, repo, embedder, gitignore, on_duplicate)
+    result = build(spark, root, url, repo, embedder, gitignore, on_duplicate, store)
     if output is not None:
         export(result, output)
     if store is not None:

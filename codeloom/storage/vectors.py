@@ -17,16 +17,21 @@ class VectorStore:
             raise ValueError("dimensions must be positive")
         self.store, self.dimensions = store, dimensions
 
-    def setup(self, recreate: bool = False) -> None:
-        """Declare the table; another dimension than the stored one is an error unless the table is made anew."""
+    def check(self) -> None:
+        """Another dimension than the stored one is an error."""
         known = self.store.properties().get("dimensions")
-        if known is not None and known != self.dimensions and not recreate:
+        if known is not None and known != self.dimensions:
             raise ValueError(f"the table holds vectors of {known} dimensions, not {self.dimensions}")
+
+    def setup(self, recreate: bool = False) -> None:
+        """Declare the table, or make it anew: all parts and the dimension change in one swap."""
+        if not recreate:
+            self.check()
         if recreate:
-            for part in list(self.store.manifest()["tables"].get("embeddings", {})):
-                self.store.commit(part, {"embeddings": None})
-        if recreate or known is None:
-            self.store.commit("", {}, properties={"dimensions": self.dimensions})
+            self.store.amend(lambda m: (m["tables"].pop("embeddings", None), m["properties"].update(dimensions=self.dimensions)))
+        elif "dimensions" not in self.store.properties():
+            self.store.amend(lambda m: m["properties"].setdefault("dimensions", self.dimensions))
+            self.check()
 
     def checked(self, vectors: DataFrame) -> DataFrame:
         """vectors, whose use fails on a vector of another length."""

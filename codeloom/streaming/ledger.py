@@ -6,6 +6,7 @@ stream form reads event files as they arrive, with a watermark that bounds the s
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -29,9 +30,7 @@ class JobQueue:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.seq = 0
-        found = self.events().agg(F.max("seq")).first()[0]
-        self.seq = (found or 0) + 1
+        self.seq = self.events().agg(F.max("seq")).first()[0] or 0
         for r in self.state().where("status = 'running'").select("id").collect():  # a restart ends what ran
             self._append(r["id"], status="failed", error=jobs.STALE, finished_at=now())
 
@@ -47,11 +46,12 @@ class JobQueue:
         return jobs.latest_state(self.events())
 
     def _append(self, job: str, **fields) -> None:
+        # Microseconds, so that events of several writers are in order of time; never less than this writer's last.
+        self.seq = max(self.seq + 1, time.time_ns() // 1000)
         row = {"id": job, "seq": self.seq} | fields
         schema = ", ".join(f"{n} {t}" for n, t in (x.split(" ", 1) for x in EVENTS.split(", ")))
         names = [x.split(" ", 1)[0] for x in EVENTS.split(", ")]
         self.spark.createDataFrame([tuple(row.get(n) for n in names)], schema).coalesce(1).write.mode("append").parquet(self.path)
-        self.seq += 1
 
     def submit(self, url: str, replace: bool = False) -> str:
         """Queue a job; the url must look like one of a git repository."""
@@ -105,12 +105,16 @@ def stream_job_states(spark: SparkSession, source: str, checkpoint: str, publish
 
 
 def stream_changed_files(spark: SparkSession, source: str, checkpoint: str, state: Callable[[], DataFrame], save: Callable[[DataFrame], None]):
-    """Follow JSON files of (path, status) rows and keep the last status of each path; a batch that is repeated after a
-    failure writes the same rows again."""
-    changes = spark.readStream.schema(CHANGED_FILES).json(source)
+    """Follow JSON files of (path, status) rows, with a growing ``seq`` where one file holds several of a path, and keep the last
+    status of each path: of the largest seq, else of the latest file. A batch that is repeated after a failure writes the
+    same rows again."""
+    file = F.col("_metadata")
+    order = F.struct(F.coalesce("seq", F.lit(0).cast("long")), file["file_modification_time"], file["file_name"], "status")
+    changes = spark.readStream.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in CHANGED_FILES.fields)}, seq bigint").json(source)
+    changes = changes.withColumn("order", order)
 
     def batch(rows: DataFrame, _: int) -> None:
-        last = rows.groupBy("path").agg(F.max("status").alias("status"))
+        last = rows.groupBy("path").agg(F.max_by("status", "order").alias("status"))
         save(upsert(state(), last, "path", keep_old_values=False))
 
     return changes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()

@@ -332,3 +332,63 @@ def test_export_needs_no_vectors(spark, repo, tmp_path):
     repo.commit(a_dot_py="x: int = 1\n")
     counts = export(index.build(spark, repo.root, URL, "shop", EMBEDDER), tmp_path / "out")
     assert counts["embeddings"] == 0 and np.load(tmp_path / "out/embeddings.npy").shape == (0, 384)
+
+
+def test_commits_at_once_lose_nothing(spark, tmp_path):
+    """Each commit finds, when it publishes, that another one has taken its number."""
+    root = str(tmp_path / "store")
+    one, two = SnapshotStore(spark, root), SnapshotStore(spark, root)
+    rows = lambda name: spark.createDataFrame([("a.py", "err", name)], "path string, error string, repo_name string")
+    publish, raced = one._publish, []
+
+    def late(manifest):
+        if not raced:
+            raced.append(two.commit("b", {"failed_files": rows("b")}, sha="2"))
+        return publish(manifest)
+
+    one._publish = late
+    assert one.commit("a", {"failed_files": rows("a")}, sha="1") == 2 and raced == [1]
+    assert {r["repo_name"] for r in one.read("failed_files").collect()} == {"a", "b"} and (one.last_sha("a"), two.last_sha("b")) == ("1", "2")
+    for _ in range(15):
+        two.set_sha("b", "3")
+        two.amend(lambda m: m["properties"].update(x=1))
+    assert len(two._versions()) <= 11 and one.properties() == {"x": 1}
+
+
+def test_remote_usage_is_counted_where_it_is_made_and_paid_once(spark, repo, store, tmp_path):
+    calls = tmp_path / "calls"
+
+    def send(texts):
+        with calls.open("a") as f:
+            f.write(f"{len(texts)}\n")
+        return [[float(len(t)), 1.0, 2.0, 3.0] for t in texts], 10 * len(texts)
+
+    from codeloom.functions.vectors import RemoteEmbedder
+
+    repo.commit(src__account_dot_py=USER)
+    result = index.full_index(spark, repo.root, URL, "shop", store, tmp_path / "out", RemoteEmbedder(send, dimensions=4, batch=2))
+    sent = [int(x) for x in calls.read_text().split()]
+    assert sum(sent) == 6 and store.read("embeddings").count() == 6
+    assert result.embedding_usage == {"model": "text-embedding-3-small", "total_tokens": 60, "requests": len(sent), "estimated_cost_usd": round(60 / 1e6 * 0.02, 8)}
+
+
+def test_an_update_with_another_dimension_is_an_error(spark, repo, store):
+    from codeloom.storage.vectors import VectorStore as Vectors
+
+    repo.commit(a_dot_py="def f():\n    pass\n")
+    Vectors(store, 4).setup()
+    update(spark, repo, store)
+    with pytest.raises(ValueError, match="4 dimensions, not 8"):
+        incremental.update(spark, repo.root, URL, "shop", store, FixtureEmbedder(8))
+    Vectors(store, 8).setup(recreate=True)
+    assert store.read("embeddings").count() == 0 and store.properties() == {"dimensions": 8}
+
+
+def test_the_last_status_of_a_path_counts(spark, tmp_path):
+    from codeloom.streaming.ledger import stream_changed_files
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text('{"path":"x","status":"modified","seq":1}\n{"path":"x","status":"deleted","seq":2}\n{"path":"y","status":"deleted","seq":3}\n{"path":"y","status":"added","seq":4}\n')
+    kept = []
+    stream_changed_files(spark, str(tmp_path / "in"), str(tmp_path / "ck"), lambda: spark.createDataFrame([], "path string, status string"), lambda df: kept.append(sorted(tuple(r) for r in df.select("path", "status").collect()))).awaitTermination()
+    assert kept == [[("x", "deleted"), ("y", "added")]]
