@@ -13,10 +13,10 @@
 Groups (buckets of step 2, components of step 3) that fit a block, ``BLOCK`` nodes or ``SET_BLOCK`` sets of at most
 ``SET_SHINGLES`` shingles, are one task's. A larger group is dealt over tasks, each of which compares its members with the
 group's ``HUBS`` hubs; the members that the largest class of hubs attaches are linked with each other through it. The
-rest, and only the rest, is held in blocks against all members, which each block's task reads as a stream. So every
-pair is compared but those already in one class, and each member is written once for the hubs and once for every
-block of the rest: at most ``FAN`` times up to FAN * SET_SHINGLES shingles (or FAN * BLOCK nodes) in the rest, and beyond
-that once for so many. Comparisons in a family of which no hub attaches a part may still be the square of that part.
+rest, and only the rest, is held in blocks against all members, which are dealt over at most ``FAN`` tasks for each block and
+read as streams. So every pair is compared but those already in one class. A member is written once for the hubs and
+once for every block of the rest, which are at most ``FAN`` up to FAN * SET_SHINGLES shingles (or FAN * BLOCK nodes), and
+beyond that one for so many; one of the rest is written at most ``FAN`` times more. Comparisons in a family of which no hub attaches a part may still be the square of that part.
 
 Only nodes with a candidate have their texts read twice. Rows of one band key, root or digest that are many are found by
 counts that are combined before the shuffle; they are never ranked or joined in one task.
@@ -280,11 +280,12 @@ class _Hubs:
 
 
 class _Rest:
-    """A block of what no hub of the largest class attaches, against all members of the group."""
+    """A block of what no hub of the largest class attaches, against a part of the group's members; the first part links the
+    block's own."""
 
     def __init__(self, names: list[bytes], held: Held, row: pd.Series):
         self.names, self.held = names, held
-        self.links = forest(held, len(names))
+        self.links = forest(held, len(names)) if int(row["part"]) == 0 else []
         self.classes = _Classes(len(names), self.links)
 
     def first(self) -> Links:
@@ -351,14 +352,17 @@ def _links(spark: SparkSession, rows: DataFrame, any_large: bool, block: int, mo
     met = _streamed(dealt.withColumn("cell", F.xxhash64("group", "part")), make, _Hubs, "group long, u binary, v binary, attached boolean")
     met = materialise(spark, met, f"{label}-hubs")
     attached = met.groupBy("group", F.col("u").alias("node")).agg(F.max("attached").alias("attached"))
-    rest = attached.where("not attached").join(large, ["group", "node"]).select("group", *columns[2:], "weight")
+    rest = attached.where("not attached").join(large, ["group", "node"]).select("group", *columns[2:], "weight", "parts")
     rest = materialise(spark, rest, f"{label}-rest")
     needed = F.greatest(F.ceil(F.sum("weight") / most), F.least(F.lit(FAN), F.ceil(F.count("*") / block))).cast("int")
-    blocks = small_or_shuffled(materialise(spark, rest.groupBy("group").agg(needed.alias("blocks")), f"{label}-blocks"), SMALL_IDS)
-    left = rest.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int")).withColumn("kind", F.lit(0))
-    right = large.join(blocks, "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("kind", F.lit(1))
-    dealt = left.select("group", "block", *columns[1:]).union(right.select("group", "block", *columns[1:]))
-    others = _streamed(dealt.withColumn("cell", F.xxhash64("group", "block")), make, _Rest, "u binary, v binary")
+    blocks = small_or_shuffled(materialise(spark, rest.groupBy("group").agg(needed.alias("blocks"), F.first("parts").alias("parts")), f"{label}-blocks"), SMALL_IDS)
+    blocks = blocks.select("group", "blocks", F.least("parts", F.lit(FAN)).alias("streams"))
+    left = rest.drop("parts").join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int")).withColumn("kind", F.lit(0))
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("streams") - 1)))
+    right = large.drop("parts").join(blocks, "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("kind", F.lit(1))
+    right = right.withColumn("part", F.pmod(F.xxhash64("node", F.lit(13)), F.col("streams")).cast("int"))
+    dealt = left.select("group", "block", "part", *columns[1:]).union(right.select("group", "block", "part", *columns[1:]))
+    others = _streamed(dealt.withColumn("cell", F.xxhash64("group", "block", "part")), make, _Rest, "u binary, v binary")
     return found.union(met.where("v is not null").select("u", "v")).union(others.where("u != v"))
 
 
