@@ -13,7 +13,7 @@ The largest score decides; ties go to the language with more training documents,
 The table (8 MB for every 64 languages) and the sample (``SAMPLE`` documents, chosen by a hash of the id) are the only things that
 reach the driver or every executor. Defined results: a null text or one without letters is ``und`` with score 0; letters without
 any known n-gram give the most frequent language with score 0; a language is known if the sample holds it; a null doc_id is not held out and not learned from;
-with nothing to learn from every document is ``und``; an empty table gives an empty result; other columns are ignored.
+with nothing to learn from every document is ``und``; a very long text is read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ no more than its rows; equal payloads are reduced to one inside each task before
 
 Defined results: a null html is an empty payload; payloads under ``min_revisit`` bytes are always responses; of
 equal payloads the largest page_id is the response (rows that repeat that page_id are responses too, and a null
-page_id is below all others); CR and LF in a url are percent-encoded in the header; an empty table gives an
-empty archive; other columns are ignored.
+page_id is below all others); rows that repeat a page_id, or have none, share a record id; CR and LF in a url are
+percent-encoded in the header; a very long payload is read whole; an empty table gives an empty archive; other columns
+are ignored. ``write_warc`` writes the archive as plain WARC files.
 """
 
 from __future__ import annotations
@@ -80,6 +81,12 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     return _records(spark, path).join(_verified(spark, path), "digest").select("page_id", F.concat("header", block, end).alias("record"))
 
 
+def write_warc(spark: SparkSession, path: str, out: str) -> None:
+    """The archive's records as WARC files under ``out``. A record ends with two line ends, which are the sink's separator."""
+    text = F.decode(F.substring("record", F.lit(1), F.octet_length("record") - 4), "UTF-8")
+    reconstruct(spark, path).select(text.alias("value")).write.option("lineSep", CRLF + CRLF).text(out)
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Per record: page_id, payload_bytes and payload_digest of the full payload as stored, record_type, refers_to."""
     facts = _verified(spark, path).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))

@@ -88,3 +88,18 @@ def test_a_damaged_payload_is_found(spark, tmp_path):
     spark.createDataFrame([("0" * 64, bytearray(b"other"))], "digest string, payload binary").write.mode("append").parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="does not match its digest"):
         warc._verified(spark, path).collect()
+
+
+def test_the_archive_as_plain_files(spark, tmp_path):
+    rows = [(1, "http://a/é", "é\r\n\r\nWARC/1.1\r\n" * 100, "h", "d"), (2, "http://b/", "é\r\n\r\nWARC/1.1\r\n" * 100, "h", "d"), (3, "u", None, "h", "d"), (4, "u", "\r\n\r\n", "h", "d")]
+    path = str(tmp_path / "archive")
+    warc.write_archive(spark, spark.createDataFrame(rows, PAGES), path)
+    warc.write_warc(spark, path, str(tmp_path / "files"))
+    data, found = b"".join(f.read_bytes() for f in sorted((tmp_path / "files").glob("part-*"))), []
+    while data:
+        head, _, rest = data.partition(b"\r\n\r\n")
+        n = int(head.split(b"Content-Length: ")[1].split(b"\r\n")[0])
+        assert head.startswith(b"WARC/1.1\r\n") and rest[n : n + 4] == b"\r\n\r\n"
+        found.append(head + b"\r\n\r\n" + rest[: n + 4])
+        data = rest[n + 4 :]
+    assert sorted(found) == sorted(bytes(r.record) for r in warc.reconstruct(spark, path).collect())
