@@ -140,11 +140,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     vecs = table(spark, sf_dir, "embeddings")
     path = F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id"), F.lit(".py"))
-    files = docs.select("doc_id", path.alias("path"), ident.content_hash("text").alias("body_hash"))
-    named = files.withColumn("moniker", ident.moniker(ident.language_of("path"), F.lit("corpus"), "path", ident.descriptor(F.lit("module"), ident.module_path("path"))))
+    named = docs.select("doc_id", path.alias("path")).withColumn("moniker", ident.moniker(ident.language_of("path"), F.lit("corpus"), "path", ident.descriptor(F.lit("module"), ident.module_path("path"))))
     asked = vecs.where("vec_id = 0").select(F.col("embedding").alias("q"))
     near = vecs.join(named, vecs.vec_id == named.doc_id).crossJoin(F.broadcast(asked.limit(1)))
-    return near.select("moniker", "body_hash", F.round(vectors.cosine_distance("embedding", "q"), 6).alias("dist")).orderBy("dist", "moniker").limit(10)
+    ten = near.select("doc_id", "moniker", F.round(vectors.cosine_distance("embedding", "q"), 6).alias("dist")).orderBy("dist", "moniker").limit(10)
+    # Texts are read for the ten only, and none is shuffled.
+    found = docs.select("doc_id", "text").join(F.broadcast(ten), "doc_id")
+    return found.select("moniker", ident.content_hash("text").alias("body_hash"), "dist").orderBy("dist", "moniker").limit(10)
 
 
 @query("moniker_build", f"WITH {_SYMBOLS_SQL} SELECT p_partkey, kind, id FROM symbols")
