@@ -459,10 +459,11 @@ def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int
         lost = small_or_shuffled(materialise(spark, lost, "minhash-lost"), SMALL_IDS)
         return docs.join(lost, docs["doc_id"] == F.col("_lost_doc_id"), "left_anti")
     # Ids are no key: rows are told apart by id and text, and of rows that repeat both one stays.
-    known = found.where("n > 0").groupBy("doc_id", "text_key", "component_id").agg(F.count("*").alias("k"), F.min("node").alias("node"))
+    known = found.where("n > 0").groupBy("doc_id", "text_key", "component_id").agg(F.count("*").alias("k"))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    some = known.withColumn("_node", F.min(F.when(kept, F.col("text_key"))).over(Window.partitionBy("component_id", F.col("doc_id"))))
-    decided = some.select(F.col("doc_id").alias("_seen_doc_id"), F.col("text_key").alias("_seen_text_key"), (kept & (F.col("doc_id").isNull() | (F.col("text_key") == F.col("_node")))).alias("_stays"), (F.col("k") > 1).alias("_repeats"))
+    first = F.min(F.when(kept, F.col("text_key"))).over(Window.partitionBy("component_id", "doc_id"))
+    some = known.where("doc_id is not null").withColumn("_first", first).union(known.where("doc_id is null").withColumn("_first", F.lit(None).cast("long")))
+    decided = some.select(F.col("doc_id").alias("_seen_doc_id"), F.col("text_key").alias("_seen_text_key"), (kept & (F.col("doc_id").isNull() | (F.col("text_key") == F.col("_first")))).alias("_stays"), (F.col("k") > 1).alias("_repeats"))
     decided = small_or_shuffled(materialise(spark, decided.where("not _stays or _repeats"), "minhash-decided"), SMALL_IDS // 2)
     key = F.col("doc_id").eqNullSafe(F.col("_seen_doc_id")) & (F.xxhash64("text") == F.col("_seen_text_key"))
     joined = docs.join(decided, key, "left")
