@@ -27,7 +27,6 @@ def _cell(node: Column) -> Column:
 def _survey(links: DataFrame) -> tuple[tuple[int, int], list[int]]:
     """Count and checksum of the links, and the crowded cells."""
     ends = F.array(F.struct(_cell(F.col("u")).alias("cell"), F.xxhash64("u", "v").alias("sum")), F.struct(_cell(F.col("v")).alias("cell"), F.lit(0).cast("long").alias("sum")))
-    # The sums wrap around silently only in 128 bits; decimals do not wrap at all.
     found = links.select(F.inline(ends)).groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.col("sum").cast("decimal(38,0)")).alias("sum")).collect()
     total = sum(r.n for r in found)
     most = max(CROWDED, TIMES * total // CELLS)
