@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 from pathlib import Path
 
@@ -25,6 +26,17 @@ def _git(root: str | Path, *args: str) -> bytes:
     return done.stdout
 
 
+def clone(url: str, root: str | Path) -> Path:
+    """A new checkout of a repository; its parent folder is made. The url is never read as an option, and a terminal is never asked
+    for a password."""
+    root = Path(root)
+    root.parent.mkdir(parents=True, exist_ok=True)
+    done = subprocess.run(["git", "clone", "--", url, str(root)], capture_output=True, check=False, env=os.environ | {"GIT_TERMINAL_PROMPT": "0"})
+    if done.returncode:
+        raise GitError(f"git clone failed with exit code {done.returncode}: {done.stderr.decode('utf-8', 'replace').strip()}")
+    return root
+
+
 def head_sha(root: str | Path) -> str:
     """The checked-out commit, ``unknown`` outside a repository."""
     try:

@@ -392,3 +392,22 @@ def test_the_last_status_of_a_path_counts(spark, tmp_path):
     kept = []
     stream_changed_files(spark, str(tmp_path / "in"), str(tmp_path / "ck"), lambda: spark.createDataFrame([], "path string, status string"), lambda df: kept.append(sorted(tuple(r) for r in df.select("path", "status").collect()))).awaitTermination()
     assert kept == [[("x", "deleted"), ("y", "added")]]
+
+
+def test_clone(spark, repo, tmp_path):
+    repo.commit(a_dot_py="def f():\n    return 1\n")
+    root = git.clone(str(repo.root), tmp_path / "new" / "checkout")
+    assert git.head_sha(root) == git.head_sha(repo.root) and git.remote_url(root) == str(repo.root)
+    assert index.build(spark, root, URL, "shop", EMBEDDER).symbols.count() == 2
+    for url in (str(tmp_path / "nowhere"), "--upload-pack=touch x"):
+        with pytest.raises(git.GitError, match="git clone failed with exit code 128"):
+            git.clone(url, tmp_path / "other")
+
+
+def test_lists_of_strings_are_written_one_at_a_time(tmp_path):
+    from codeloom.plans import export
+
+    for values in ([], ["a"], ['b "é"', "c\n"]):
+        with (tmp_path / "x.json").open("w", encoding="utf-8") as out:
+            assert export._write_strings(out, iter(values)) == len(values)
+        assert (tmp_path / "x.json").read_text(encoding="utf-8") == json.dumps(values, indent=2)
