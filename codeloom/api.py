@@ -1,16 +1,19 @@
 """The job queue over HTTP, with the standard library's server: one route is one library call, answers are JSON.
 
-GET /api/health, /api/jobs, /api/jobs/cost-summary, /api/jobs/<id>, /api/jobs/<id>/artifacts/<name>; POST /api/jobs with
+GET /api/health, /api/jobs, /api/jobs/cost-summary, /api/jobs/<id>, /api/jobs/<id>/artifacts/<name>, and /api/jobs/<id>/stream,
+which sends the lines of a running job as server-sent events until the job is completed; POST /api/jobs with
 {"repoUrl", "replace"}, /api/jobs/<id>/cancel. Errors are {"detail"} with 400, 404 or 409. The server listens on this machine
 only unless it is given another address, and knows neither users nor passwords.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
 import shutil
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 
@@ -18,12 +21,13 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import jobs
 from codeloom.streaming.ledger import JobQueue
+from codeloom.streaming.logs import END
 
 #: The files of an export that may be fetched.
 ARTIFACTS = ("graph.json", "embeddings.npy", "embeddings_index.json")
 #: Bytes of the largest request that is read.
 LARGEST = 1 << 16
-_JOB = re.compile(r"/api/jobs/([0-9a-f]+)(?:/(cancel|artifacts/([\w.]+)))?")
+_JOB = re.compile(r"/api/jobs/([0-9a-f]+)(?:/(cancel|stream|artifacts/([\w.]+)))?")
 
 
 class Problem(Exception):
@@ -32,8 +36,12 @@ class Problem(Exception):
         self.status = status
 
 
+def _event(name: str, value: object) -> bytes:
+    return f"event: {name}\ndata: {json.dumps(value, default=str)}\n\n".encode()
+
+
 class Routes:
-    """What the routes answer: JSON values, or the path of a file."""
+    """What the routes answer: JSON values, the path of a file, or events."""
 
     def __init__(self, queue: JobQueue, home: str | Path):
         self.queue, self.home = queue, Path(home)
@@ -64,6 +72,8 @@ class Routes:
             raise Problem(404, "not found")
         if match[2] is None:
             return self._job(match[1])
+        if match[2] == "stream":
+            return self.stream(match[1], self._job(match[1]))
         if match[3] not in ARTIFACTS:
             raise Problem(404, "artifact not allowed")
         file = Path(self._job(match[1])["outputPath"] or self.home / match[1]) / match[3]
@@ -71,6 +81,21 @@ class Routes:
             raise Problem(404, "artifact not found")
         return file
 
+    def stream(self, job: str, record: dict) -> Iterator[bytes]:
+        """Server-sent events: the lines so far, each line to come, and the job's record when it is over."""
+        lines, listener = self.queue.hub.listen(job)
+        try:
+            for value in lines:
+                yield _event("log", value)
+            # Asked again after listening has begun, so that an end between the two is not missed.
+            if self._job(job)["status"] in jobs.FINISHED:
+                yield _event(END, self._job(job))
+                return
+            for found in listener.events():
+                yield b": keepalive\n\n" if found is None else _event(*found) if found[0] != END else _event(END, self._job(job))
+        finally:
+            self.queue.hub.leave(job, listener)
+
     def post(self, path: str, body: object) -> object:
         if path == "/api/jobs":
             if not isinstance(body, dict) or not isinstance(body.get("repoUrl"), str):
@@ -94,6 +119,16 @@ def server(queue: JobQueue, home: str | Path, host: str = "127.0.0.1", port: int
 
     class Handler(BaseHTTPRequestHandler):
         def _answer(self, status: int, value: object) -> None:
+            if isinstance(value, Iterator):
+                self.send_response(status)
+                self.send_header("Content-Type", "text/event-stream")
+                self.end_headers()
+                with contextlib.suppress(BrokenPipeError, ConnectionResetError):
+                    for event in value:
+                        self.wfile.write(event)
+                        self.wfile.flush()
+                value.close()
+                return
             is_file = isinstance(value, Path)
             data = b"" if is_file else json.dumps(value, default=str).encode()
             self.send_response(status)

@@ -6,6 +6,7 @@ stream form reads event files as they arrive, with a watermark that bounds the s
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 from collections.abc import Callable
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from codeloom.operators import jobs
 from codeloom.operators.graph import upsert
 from codeloom.schemas import CHANGED_FILES, JOBS
+from codeloom.streaming.logs import LogHub
 
 EVENTS = "id string, seq bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in JOBS.fields if f.name != "id")
 
@@ -30,6 +32,7 @@ class JobQueue:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.hub, self.running = LogHub(), None
         self.seq = self.events().agg(F.max("seq")).first()[0] or 0
         for r in self.state().where("status = 'running'").select("id").collect():  # a restart ends what ran
             self._append(r["id"], status="failed", error=jobs.STALE, finished_at=now())
@@ -53,6 +56,11 @@ class JobQueue:
         names = [x.split(" ", 1)[0] for x in EVENTS.split(", ")]
         self.spark.createDataFrame([tuple(row.get(n) for n in names)], schema).coalesce(1).write.mode("append").parquet(self.path)
 
+    def log(self, line: str, source: str = "stdout") -> None:
+        """A line of the job that runs, for those who listen to it."""
+        if self.running is not None:
+            self.hub.line(self.running, source, line)
+
     def submit(self, url: str, replace: bool = False) -> str:
         """Queue a job; the url must look like one of a git repository."""
         from codeloom.functions.identity import is_git_url
@@ -70,6 +78,7 @@ class JobQueue:
             return False
         self.spark.sparkContext.cancelJobsWithTag(f"job-{job}")
         self._append(job, status="cancelled", finished_at=now())
+        self.hub.end(job)
         return True
 
     def run_next(self, work: Callable[[str], dict]) -> str | None:
@@ -79,7 +88,8 @@ class JobQueue:
             return None
         job, context = first["id"], self.spark.sparkContext
         url = self.state().where(F.col("id") == job).first()["repo_url"]
-        self._append(job, status="running", started_at=now())
+        self._append(job, status="running", started_at=now(), pid=os.getpid())
+        self.running = job
         context.addJobTag(f"job-{job}")
         try:
             done = {"status": "succeeded", "exit_code": 0} | work(url)
@@ -89,6 +99,8 @@ class JobQueue:
             context.removeJobTag(f"job-{job}")
         if self.state().where(F.col("id") == job).first()["status"] == "running":
             self._append(job, finished_at=now(), **done)
+        self.running = None
+        self.hub.end(job)
         return job
 
 

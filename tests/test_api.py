@@ -49,3 +49,53 @@ def test_routes(spark, tmp_path):
     finally:
         server.shutdown()
         server.server_close()
+
+
+def test_lines_of_a_running_job_are_streamed(spark, tmp_path):
+    queue = JobQueue(spark, str(tmp_path / "events"))
+    job = queue.submit("https://git.example/org/shop.git")
+    server = api.server(queue, tmp_path)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    seen, started = [], threading.Event()
+
+    def listen():
+        with urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}/api/jobs/{job}/stream") as r:
+            for line in r:
+                seen.append(line.decode().strip())
+                started.set()
+
+    def work(url):
+        queue.log("first")
+        listener = threading.Thread(target=listen)
+        listener.start()
+        assert started.wait(60)
+        queue.log("second", "stderr")
+        work.listener = listener
+        return {}
+
+    try:
+        assert queue.run_next(work) == job
+        work.listener.join(60)
+        events = [(seen[k].removeprefix("event: "), json.loads(seen[k + 1].removeprefix("data: "))) for k in range(len(seen)) if seen[k].startswith("event: ")]
+        assert events[:2] == [("log", {"source": "stdout", "line": "first"}), ("log", {"source": "stderr", "line": "second"})]
+        assert events[2][0] == "completed" and events[2][1]["status"] == "succeeded" and events[2][1]["pid"] > 0
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+def test_slow_listeners_lose_the_oldest_and_quiet_ones_are_told():
+    from codeloom.streaming.logs import LogHub
+
+    hub = LogHub(kept=3)
+    for k in range(5):
+        hub.line("j", "stdout", str(k))
+    lines, listener = hub.listen("j")
+    assert [x["line"] for x in lines] == ["2", "3", "4"]
+    events = listener.events(quiet=0.01)
+    assert next(events) is None
+    for k in range(1500):
+        hub.line("j", "stdout", str(k))
+    hub.end("j", "over")
+    got = list(events)
+    assert len(got) == 1000 and got[0][1]["line"] == "501" and got[-1] == ("completed", "over") and hub.listen("j")[0] == []
