@@ -574,6 +574,12 @@ def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.log_tail(_logs(spark, sf_dir), 2)
 
 
+@query("log_tail_default", f"WITH {_LOGS_SQL} SELECT job_id, seq, source, line FROM logs QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) <= 10000")
+def log_tail_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the operator's own number of lines."""
+    return jobs.log_tail(_logs(spark, sf_dir))
+
+
 @query("summary_counts", "SELECT o_custkey, count(*)::INT AS symbols, 0 AS relationships, count(*)::INT AS files, 0 AS failed_files, count(*)::BIGINT AS embeddings FROM orders GROUP BY 1")
 def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One exported graph per customer, its orders as symbols and files."""

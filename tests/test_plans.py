@@ -411,3 +411,22 @@ def test_lists_of_strings_are_written_one_at_a_time(tmp_path):
         with (tmp_path / "x.json").open("w", encoding="utf-8") as out:
             assert export._write_strings(out, iter(values)) == len(values)
         assert (tmp_path / "x.json").read_text(encoding="utf-8") == json.dumps(values, indent=2)
+
+
+def test_garbage_is_what_no_manifest_names(spark, tmp_path, monkeypatch):
+    root = tmp_path / "store"
+    store = SnapshotStore(spark, str(root))
+    row = lambda name, sha: spark.createDataFrame([(name, "u", sha)], "name string, url string, commit_sha string").withColumn("indexed_at", F.current_timestamp())
+    assert store.collect_garbage(0) == []
+    store.commit("one", {"repositories": row("one", "a")}, "a")
+    store.commit("two", {"repositories": row("two", "a")}, "a")
+    store.commit("one", {"repositories": row("one", "b")}, "b")
+    store.staged(row("one", "c"))
+    first = store._load(1)["tables"]["repositories"]["one"]
+    assert store.collect_garbage() == []
+    gone = store.collect_garbage(-60)
+    assert len(gone) == 1 and gone[0].startswith("_staged/") and (root / first).exists()
+    monkeypatch.setattr("codeloom.storage.snapshot.KEPT", 1)
+    store.set_sha("one", "d")
+    assert store.collect_garbage(-60) == [first] and not (root / first).exists()
+    assert sorted((r["name"], r.commit_sha) for r in store.read("repositories").collect()) == [("one", "b"), ("two", "a")]
