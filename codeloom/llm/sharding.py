@@ -6,8 +6,9 @@ take rows into itself. Only the key and narrow measures of a row are shuffled, n
 
 Slots are gapless per shard without a window over a whole shard: a second hash deals each shard into ``fine``
 buckets, the buckets' counts (shards x fine rows, a bound that the data does not move) become offsets, and places
-are taken inside a bucket. Equal rows are one row with a count until they have their slots, and the second hash is of all
-that is carried, so neither rows without a key nor one repeated row fill a bucket.
+are taken inside a bucket. Equal rows are one row with a count, or one for each ``COPIES`` of them, until they have their
+slots. The second hash is of all that is carried and of the number of that part, so neither rows without a key nor one
+repeated row fill a bucket, and no array of copies is longer than that.
 
 Defined results: a null key is a key of its own; equal keys share a shard and get different slots; a null text
 has size 1 and the checksum 0 of no bytes; a very long text is read whole; an empty table gives an empty result; other
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import materialise
 
 FINE = 512
+#: Equal rows that are carried as one.
+COPIES = 10_000
 
 
 def _unit(key: Column, salt: str) -> Column:
@@ -47,14 +50,17 @@ def shard(df: DataFrame, key: str, weights: Sequence[float], carry: Sequence[Col
     own = F.col(key)
     extra = [rendezvous(own, grown).alias("grown_shard")] if grown else []
     rows = df.select(own.alias(key), *carry)
-    equal = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
-    fine_of = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(fine)).cast("int")
+    equal = rows.groupBy(*rows.columns).agg(F.count("*").alias("_all"))
+    last = F.floor((F.col("_all") - 1) / COPIES)
+    equal = equal.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    equal = equal.withColumn("_n", F.least(F.lit(COPIES), F.col("_all") - F.col("_part") * COPIES)).drop("_all")
+    fine_of = F.pmod(F.xxhash64(*rows.columns, "_part"), F.lit(fine)).cast("int")
     placed = materialise(df.sparkSession, equal.select("*", rendezvous(F.col(key), weights).alias("shard"), *extra, fine_of.alias("_fine")), "sharding-rows")
     counts = placed.groupBy("shard", "_fine").agg(F.sum("_n").alias("_all"))
     running = Window.partitionBy("shard").orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_fine", F.coalesce(F.sum("_all").over(running), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_fine").orderBy(*rows.columns).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("shard", "_fine").orderBy(*rows.columns, "_part").rowsBetween(Window.unboundedPreceding, -1)
     ranked = placed.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     joined = ranked.join(F.broadcast(starts), ["shard", "_fine"])
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
-    return joined.withColumn("_copy", copies).withColumn("slot", F.col("_start") + F.col("_before") + F.col("_copy")).drop("_fine", "_n", "_before", "_start", "_copy")
+    return joined.withColumn("_copy", copies).withColumn("slot", F.col("_start") + F.col("_before") + F.col("_copy")).drop("_fine", "_part", "_n", "_before", "_start", "_copy")

@@ -56,3 +56,18 @@ def test_every_key_by_brute_force_and_one_row_in_a_third_of_all(spark):
     for s in range(8):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert sorted((str(r.doc_id), r.size) for r in got) == sorted((str(k), len(t)) for k, t, *_ in rows)
+
+
+def test_a_row_repeated_very_often_is_carried_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    stored, made = [], sharding.materialise
+    monkeypatch.setattr(sharding, "materialise", lambda *a: stored.append(made(*a)) or stored[-1])
+    keys = [5] * 500 + [None] * 14 + [8] * 7 + list(range(100, 300))
+    df = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+    got = sharding.shard(df, "doc_id", [1.0] * 8, fine=64).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(map(str, keys))
+    assert len({r.shard for r in got if r.doc_id == 5}) == 1
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    parts = stored[0].where("doc_id = 5").collect()
+    assert len(parts) == 72 and max(r["_n"] for r in parts) == 7 and len({r["_fine"] for r in parts}) > 30
