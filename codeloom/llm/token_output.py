@@ -12,13 +12,14 @@ its input, so rows without an id, or of one repeated id, are dealt over as many
 
 Defined results: a null text is empty and holds the end id alone; a very long text is one document of one shard, read whole;
 a null doc_id sorts first; rows that repeat a doc_id, or have none, follow each other in order of a hash of the text; an
-empty table has no shard and no rows; other columns are ignored.
+empty table has no shard and no rows; other columns are ignored. ``count_tokens`` and ``locate`` answer from rank and select,
+without decoding; a token that does not occur has the count 0 and no places.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,7 @@ from codeloom.llm.tokens import encoder
 from codeloom.llm.wavelet import open_shard, pack_shard
 
 SHARD_TOKENS = 1 << 19
+LOCATED = 10_000
 SHARDS = "part int, seq int, before long, docs long, tokens long, image binary"
 
 
@@ -85,3 +87,36 @@ def read_documents(spark: SparkSession, shards: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "start": begins + starts[part] + before, "n_tokens": ends - begins, "ids_crc32": crcs})
 
     return shards.select("part", "before", "image").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def count_tokens(spark: SparkSession, shards: DataFrame, tokens: Sequence[int]) -> DataFrame:
+    """token and n, its occurrences in all shards, for a bounded list of different tokens."""
+    prepare(spark)
+    wanted = list(dict.fromkeys(int(t) for t in tokens))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for image in batch["image"]:
+                matrix = open_shard(image)[2]
+                yield pd.DataFrame({"token": wanted, "n": [matrix.count(t) for t in wanted]})
+
+    found = shards.select("image").mapInPandas(count, "token long, n long")
+    asked = spark.createDataFrame([(t, 0) for t in wanted], "token long, n long")
+    return found.union(asked).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def locate(spark: SparkSession, shards: DataFrame, token: int) -> DataFrame:
+    """doc_id and place in the document's ids of every occurrence of a token."""
+    prepare(spark)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for image in batch["image"]:
+                doc_ids, ends, matrix = open_shard(image)
+                begins, n = np.concatenate([np.zeros(1, np.int64), ends[:-1]]), matrix.count(token)
+                for first in range(0, n, LOCATED):
+                    places = np.array([matrix.select(token, k) for k in range(first, min(n, first + LOCATED))])
+                    docs = np.searchsorted(ends, places, "right")
+                    yield pd.DataFrame({"doc_id": pd.array([doc_ids[d] for d in docs], "Int64"), "place": places - begins[docs]})
+
+    return shards.select("image").mapInPandas(find, "doc_id long, place long")

@@ -5,7 +5,8 @@ are packed and the sequence is stably parted into zeros and ones. With a count o
 ``access``, ``rank``, ``select`` and ``count`` touch one place per plane, without decoding the sequence.
 
 File image: magic, a JSON header with lengths, then zstd-compressed sections: doc ids, doc ends, alphabet, and per
-plane its bits and block counts.
+plane its block counts and its bits in chunks. Chunks of an opened image are inflated when they are first asked for, so
+the point operations inflate at most a few chunks of each plane.
 """
 
 from __future__ import annotations
@@ -16,8 +17,32 @@ import struct
 import numpy as np
 import zstandard
 
-MAGIC = b"CLWM0001"
+MAGIC = b"CLWM0002"
 BLOCK = 2048  # bits
+CHUNK = 8192  # bytes, whole blocks
+
+
+class Chunks:
+    """Packed bits in compressed chunks; a slice lies in one block, so in one chunk."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed, self.held = packed, {}
+
+    def chunk(self, k: int) -> np.ndarray:
+        if k not in self.held:
+            self.held[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.packed[k]), np.uint8)
+        return self.held[k]
+
+    def __getitem__(self, at: int | slice):
+        if not isinstance(at, slice):
+            return self.chunk(at // CHUNK)[at % CHUNK]
+        if at.stop <= at.start:
+            return np.zeros(0, np.uint8)
+        start = at.start // CHUNK * CHUNK
+        return self.chunk(at.start // CHUNK)[at.start - start : at.stop - start]
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint8), *(self.chunk(k) for k in range(len(self.packed)))])
 
 
 class Plane:
@@ -82,7 +107,7 @@ class WaveletMatrix:
         """The whole sequence, from the lowest plane up."""
         rest = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level, plane in enumerate(reversed(self.planes)):
-            bit = np.unpackbits(plane.bits, count=self.n, bitorder="little").view(bool)
+            bit = np.unpackbits(np.asarray(plane.bits), count=self.n, bitorder="little").view(bool)
             whole = np.empty_like(rest)
             whole[np.flatnonzero(~bit)] = rest[: plane.zeros]  # places are faster than masks here
             whole[np.flatnonzero(bit)] = rest[plane.zeros :] | rest.dtype.type(1 << level)
@@ -143,7 +168,8 @@ def pack_shard(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) ->
         matrix.alphabet.astype("<u4").tobytes(),
     ]
     for plane in matrix.planes:
-        sections += [plane.bits.tobytes(), plane.ones_before.astype("<u4").tobytes()]
+        bits = plane.bits.tobytes()
+        sections += [plane.ones_before.astype("<u4").tobytes(), *(bits[at : at + CHUNK] for at in range(0, len(bits), CHUNK))]
     packer = zstandard.ZstdCompressor(level=1)
     packed = [packer.compress(x) for x in sections]
     header = json.dumps({"docs": len(doc_ids), "tokens": int(matrix.n), "planes": len(matrix.planes), "sections": [len(x) for x in packed]}).encode()
@@ -156,12 +182,13 @@ def open_shard(image: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatri
         raise ValueError("not a token shard")
     (size,) = struct.unpack_from("<I", image, 8)
     header = json.loads(image[12 : 12 + size])
-    at, sections, unpacker = 12 + size, [], zstandard.ZstdDecompressor()
-    for length in header["sections"]:
-        sections.append(unpacker.decompress(image[at : at + length]))
-        at += length
-    known = np.unpackbits(np.frombuffer(sections[0], np.uint8), count=header["docs"]).astype(bool)
-    doc_ids = [int(i) if k else None for i, k in zip(np.frombuffer(sections[1], "<i8"), known, strict=True)]
-    n = header["tokens"]
-    planes = [Plane(np.frombuffer(sections[4 + 2 * k], np.uint8), n, np.frombuffer(sections[5 + 2 * k], "<u4")) for k in range(header["planes"])]
-    return doc_ids, np.frombuffer(sections[2], "<i8"), WaveletMatrix(np.frombuffer(sections[3], "<u4"), planes, n)
+    ends = np.cumsum([12 + size, *header["sections"]])
+    packed = [image[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    n, unpacker = header["tokens"], zstandard.ZstdDecompressor()
+    known, ids, doc_ends, alphabet = (unpacker.decompress(x) for x in packed[:4])
+    known = np.unpackbits(np.frombuffer(known, np.uint8), count=header["docs"]).astype(bool)
+    doc_ids = [int(i) if k else None for i, k in zip(np.frombuffer(ids, "<i8"), known, strict=True)]
+    planes, each = [], 1 + -(-n // (8 * CHUNK))
+    for at in range(4, 4 + each * header["planes"], each):
+        planes.append(Plane(Chunks(packed[at + 1 : at + each]), n, np.frombuffer(unpacker.decompress(packed[at]), "<u4")))
+    return doc_ids, np.frombuffer(doc_ends, "<i8"), WaveletMatrix(np.frombuffer(alphabet, "<u4"), planes, n)

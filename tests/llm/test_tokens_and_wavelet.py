@@ -167,3 +167,35 @@ def test_a_clash_of_keys_is_encoded_afresh(plain, monkeypatch):
     texts = ["the quick brown fox jumps over the lazy dog", "", "another day another word", "extraordinarily-long-hyphenated-words here extraordinarily-long-hyphenated-worde"] * 2
     for text, ids in zip(texts, encoder.encode(texts), strict=True):
         assert ids == plain(text).tobytes()
+
+
+def test_point_operations_of_an_image_inflate_few_chunks():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2048, 8 * wavelet.CHUNK, 8 * wavelet.CHUNK * 3 + 77):
+        ids = rng.integers(0, 300, n).astype(np.uint32) ** 2 % 50021
+        image = wavelet.pack_shard([7], [n], ids)
+        assert np.array_equal(wavelet.open_shard(image)[2].decode(), ids)
+        for i in sorted({0, n // 2, n - 1} & set(range(n))):
+            matrix = wavelet.open_shard(image)[2]
+            assert matrix.access(i) == ids[i]
+            assert all(len(p.bits.held) <= 2 for p in matrix.planes)
+            token, before = int(ids[i]), int((ids[:i] == ids[i]).sum())
+            assert matrix.count(token) == (ids == token).sum() and matrix.rank(token, i) == before
+            assert matrix.select(token, before) == i
+        assert wavelet.open_shard(image)[2].count(60000) == 0
+
+
+def test_counts_and_places_of_tokens_in_all_shards(spark, plain):
+    docs = edge_documents(spark)
+    shards = token_output.write_shards(spark, docs, PATH, 2, shard_tokens=40)
+    assert shards.count() > 1
+    own = [(i, [*plain(text), 2]) for i, text, *_ in EDGE]
+    tokens = [2, int(own[0][1][0]), 50000]
+    assert {r.token: r.n for r in token_output.count_tokens(spark, shards, tokens).collect()} == {t: sum(ids.count(t) for _, ids in own) for t in tokens}
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    for t in tokens:
+        want = [(i, k) for i, ids in own for k, x in enumerate(ids) if x == t]
+        assert sorted(((r.doc_id, r.place) for r in token_output.locate(spark, shards, t).collect()), key=key) == sorted(want, key=key)
+    empty = shards.limit(0)
+    assert [(r.token, r.n) for r in token_output.count_tokens(spark, empty, [2]).collect()] == [(2, 0)]
+    assert token_output.locate(spark, empty, 2).count() == 0
