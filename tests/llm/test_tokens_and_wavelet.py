@@ -169,22 +169,6 @@ def test_a_clash_of_keys_is_encoded_afresh(plain, monkeypatch):
         assert ids == plain(text).tobytes()
 
 
-def test_point_operations_of_an_image_inflate_few_chunks():
-    rng = np.random.default_rng(4)
-    for n in (0, 1, 2048, 8 * wavelet.CHUNK, 8 * wavelet.CHUNK * 3 + 77):
-        ids = rng.integers(0, 300, n).astype(np.uint32) ** 2 % 50021
-        image = wavelet.pack_shard([7], [n], ids)
-        assert np.array_equal(wavelet.open_shard(image)[2].decode(), ids)
-        for i in sorted({0, n // 2, n - 1} & set(range(n))):
-            matrix = wavelet.open_shard(image)[2]
-            assert matrix.access(i) == ids[i]
-            assert all(len(p.bits.held) <= 2 for p in matrix.planes)
-            token, before = int(ids[i]), int((ids[:i] == ids[i]).sum())
-            assert matrix.count(token) == (ids == token).sum() and matrix.rank(token, i) == before
-            assert matrix.select(token, before) == i
-        assert wavelet.open_shard(image)[2].count(60000) == 0
-
-
 def test_counts_and_places_of_tokens_in_all_shards(spark, plain):
     docs = edge_documents(spark)
     shards = token_output.write_shards(spark, docs, PATH, 2, shard_tokens=40)
