@@ -46,13 +46,13 @@ def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def salted_join(spark: SparkSession, many: DataFrame, one: DataFrame, key: str, spread: Column, rows: int, salts: int = 16) -> DataFrame:
-    """``many`` inner-joined with a stored, narrow table of one row per key: broadcast where it has at most so many rows, else
+def salted_join(spark: SparkSession, many: DataFrame, one: DataFrame, key: str, spread: Column, rows: int, salts: int = 16, how: str = "inner") -> DataFrame:
+    """``many`` joined (inner or left) with a stored, narrow table of one row per key: broadcast where it has at most so many rows, else
     under ``salts`` salts, so that a key that very many rows share is not one task's."""
     if one.limit(rows + 1).count() <= rows:
-        return many.join(F.broadcast(one), key)
+        return many.join(F.broadcast(one), key, how)
     salted = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return many.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+    return many.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
 
 
 def prepare(spark: SparkSession) -> None:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import ann, decontamination, language_id, minhash, packing, quality, reputation, sharding, token_output, warc
+from codeloom.llm import ann, decontamination, filter_audit, hard_negatives, language_id, minhash, packing, quality, reputation, sharding, token_output, warc
 from codeloom.session import table
 
 
@@ -131,6 +131,48 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(spark, table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of hard negatives of every hundredth row; the label of every seventh is moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(spark, table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) for x in embedding] AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+r AS (SELECT row_number() OVER (ORDER BY id, label, q) AS n, * FROM v),
+s AS (SELECT a.n AS an, a.id AS anchor_id, a.label AS anchor_label, b.n AS bn, b.id, b.label, list_dot_product(a.q, b.q)::BIGINT AS score FROM r a JOIN r b ON a.id % 100 = 0 AND a.n <> b.n),
+p AS (SELECT an, anchor_id, anchor_label, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY an ORDER BY score DESC, id) AS nth
+  FROM s WHERE label = anchor_label QUALIFY row_number() OVER (PARTITION BY an ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.an, nth ORDER BY score DESC, s.id)::INTEGER AS rank, s.id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.an = p.an AND s.label <> p.anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.an, nth ORDER BY score DESC, s.id) <= 10
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents: what each removes at each step of every order, by source."""
+    return filter_audit.audit(filter_audit.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+OP13_SQL = """
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS x(f, b)),
+o AS (SELECT f1.f || f2.f || f3.f || f4.f || f5.f AS o, [f1.b, f2.b, f3.b, f4.b, f5.b] AS bits FROM f f1, f f2, f f3, f f4, f f5 WHERE f1.b | f2.b | f3.b | f4.b | f5.b = 31),
+s AS (SELECT o, step, o[step] AS f, bits[step] AS b, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, o, step, f, coalesce(sum(n) FILTER (mask & (before | b) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & b > 0 AND mask & before = 0), 0) AS removed,
+  coalesce(sum(n) FILTER (mask & b > 0 AND mask & before > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = b), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (mask & b > 0 AND mask & before = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & b > 0 AND mask & before = 0), 0) AS toxic_lost FROM c, s GROUP BY part, o, step, f)
+SELECT part, o AS filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r
+"""
+
+
 QUERIES = {
     "op1_multi_index_hashing": op1_multi_index_hashing,
     "op2_host_reputation": op2_host_reputation,
@@ -142,6 +184,8 @@ QUERIES = {
     "op8_wavelet_token_output": op8_wavelet_token_output,
     "op9_warc_archive": op9_warc_archive,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_filter_audit": op13_filter_audit,
 }
 #: The rest, op4 included (DuckDB has no CRC-32), is tested against brute force in tests/llm.
-ORACLES = {"op2_host_reputation": OP2_SQL, "op5_benchmark_decontamination": OP5_SQL, "op9_warc_archive": OP9_SQL}
+ORACLES = {"op2_host_reputation": OP2_SQL, "op5_benchmark_decontamination": OP5_SQL, "op9_warc_archive": OP9_SQL, "op12_hard_negatives": OP12_SQL, "op13_filter_audit": OP13_SQL}
