@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import ann, decontamination, filter_audit, hard_negatives, language_id, minhash, packing, quality, reputation, sharding, token_output, warc
+from codeloom.llm import ann, decontamination, filter_audit, hard_negatives, language_id, minhash, packing, quality, reputation, sharding, suffix_dedup, token_output, warc
 from codeloom.session import table
 
 
@@ -131,6 +131,13 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(spark, table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the strings of 50 bytes that a document of a smaller id holds."""
+    out = suffix_dedup.dedup(spark, table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of hard negatives of every hundredth row; the label of every seventh is moved on by one."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -184,6 +191,7 @@ QUERIES = {
     "op8_wavelet_token_output": op8_wavelet_token_output,
     "op9_warc_archive": op9_warc_archive,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_suffix_array_dedup": op11_suffix_array_dedup,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_filter_audit": op13_filter_audit,
 }
