@@ -122,6 +122,28 @@ def test_rounds_merge_residues(spark):
     assert sequences <= 1.02 * (bins.max() + 1)
 
 
+@pytest.mark.parametrize("nodes", [4, 16])
+def test_nodes_have_the_lengths_of_the_whole(spark, nodes):
+    """Alternating lengths, of which only two different ones fit together: as many sequences as in one node."""
+    pieces = spark.createDataFrame([(i, 0, 0, 900 + 200 * (i % 2), 0) for i in range(400)], packing.PIECES)
+    assert check_sequences(packing.pack(spark, pieces, node_rows=-(-400 // nodes)).collect(), 2048) == 200
+
+
+@pytest.mark.parametrize(("low", "high", "node_bins"), [(700, 1500, 500_000), (50, 1500, 500_000), (700, 1500, 400)])
+def test_many_nodes_pack_like_one(spark, low, high, node_bins):
+    lengths = np.random.default_rng(low).integers(low, high, 3000)
+    pieces = spark.createDataFrame([(int(i), 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing.PIECES)
+    rows = packing.pack(spark, pieces, node_rows=100, node_bins=node_bins).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == sorted(enumerate(lengths))
+    bins, _ = packing.best_fit(np.sort(lengths)[::-1], 2048)
+    assert check_sequences(rows, 2048) <= 1.01 * (bins.max() + 1)
+
+
+def test_lengths_that_fit_no_other_end_in_a_few_rounds(spark):
+    pieces = spark.createDataFrame([(i, 0, 0, 1100, 0) for i in range(300)], packing.PIECES)
+    assert check_sequences(packing.pack(spark, pieces, node_rows=50, node_bins=40).collect(), 2048) == 300
+
+
 def test_best_fit_takes_the_tightest_bin():
     bins, offsets = packing.best_fit(np.array([7, 6, 4, 3, 3]), 10)
     assert bins.tolist() == [0, 1, 1, 0, 2] and offsets.tolist() == [0, 0, 6, 7, 0]
