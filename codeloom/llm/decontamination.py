@@ -7,6 +7,9 @@ each length that the items have, and looks the hashes up in the broadcast set. A
 along and meets the item's words around the blocks of that hash; both are laid over each other, and every run of W
 equal words gives a span. A window reaches no further than W - 1 words beyond a block that it covers, so the words around
 all blocks of an item are less than three times the item, and an occurrence costs one narrow row for every block of it.
+Blocks with the same words around them are one, within an item and over all items: a text of one word again and again has
+three of them, whatever its length, and a passage that many items share is verified once. Which items hold a block is looked
+up at the end, once for each document and block.
 
 The set is broadcast in parts of at most ``BROADCAST_BYTES``, measured by its number of hashes; each part is one scan of
 the documents. The words around blocks are broadcast where they are few, else joined under salts, as a hash may be met in
@@ -60,7 +63,7 @@ def blocks(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return placed.select(
         F.xxhash64(F.slice("item", F.col("at") + 1, F.col("length"))).alias("hash"), "length", "item_id", F.slice("item", start + 1, F.least(n, F.col("at") + window) - start).alias("part"),
         (F.col("at") - start).alias("back"), F.least(n, F.lit(window)).alias("need"),
-    )
+    ).distinct()
 
 
 def _spans(item_part: Column, doc_part: Column, start: Column, need: Column) -> Column:
@@ -111,7 +114,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     """Per distinct document: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated, items, spans (disjoint
     [a, b) word places, in order) and copies. ``text_key`` is the MD5 of the text."""
     spark = docs.sparkSession
-    table = materialise(spark, blocks(benchmark, window), "decontamination-blocks")
+    found = blocks(benchmark, window)
+    key = F.md5(F.concat_ws(" ", "hash", "length", "back", "need", "part").cast("binary"))
+    owned = materialise(spark, found.withColumn("part_key", key), "decontamination-items")
+    table = materialise(spark, owned.drop("item_id").dropDuplicates(["part_key"]), "decontamination-blocks")
     known = table.groupBy("length").agg(F.count_distinct("hash").alias("n")).collect()
     lengths = [r.length for r in sorted(known, key=lambda r: -r.length)] or [(window + 1) // 2]
     parts = max(1, -(-sum(r.n for r in known) * HASH_BYTES // broadcast_bytes))
@@ -121,20 +127,25 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
         met = _scanned(source, table if parts == 1 else table.where(F.pmod("hash", F.lit(parts)) == k), lengths, window)
         found = met if found is None else found.union(met.where("place is not null"))
     found = materialise(spark, found, "decontamination-hits")
-    heads = found.where("place is null").select("doc_id", "text_key", "n_words", F.lit(True).alias("head"), F.lit(None).cast("struct<item_id:string,spans:array<struct<a:int,b:int>>>").alias("hit"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("n_words", "long"), ("spans", "array<struct<a:int,b:int>>"), ("item_id", "string"))]
+    heads = found.where("place is null").select("doc_id", "text_key", F.lit(True).alias("head"), "n_words", *nothing[1:])
     hits = found.where("place is not null").drop("n_words")
     laid = salted_join(spark, hits, table, "hash", F.xxhash64("doc_id", "text_key", "place"), SMALL_BLOCKS)
     # Both parts from the later of their beginnings on, which is document place ``start``.
     begin = F.col("place") - F.col("back")
     start = F.greatest(begin, F.col("first"))
     spans = _spans(F.slice("part", start - begin + 1, F.size("part")), F.slice("around", start - F.col("first") + 1, F.size("part")), start, F.col("need"))
-    hit = F.struct("item_id", spans.alias("spans"))
-    laid = laid.select("doc_id", "text_key", F.lit(None).cast("long").alias("n_words"), F.lit(False).alias("head"), hit.alias("hit")).where(F.size("hit.spans") > 0)
-    per_doc = heads.union(laid).groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.count_if("head").cast("int").alias("copies"))
-    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
-    spans = _merged(F.array_sort(F.flatten(F.transform("hits", lambda h: h["spans"]))))
+    laid = laid.select("doc_id", "text_key", "part_key", spans.alias("spans")).where(F.size("spans") > 0)
+    laid = materialise(spark, laid.distinct(), "decontamination-spans")
+    met = laid.select("doc_id", "text_key", "part_key").distinct()
+    items = salted_join(spark, met, owned.select("part_key", "item_id"), "part_key", F.xxhash64("doc_id", "text_key"), SMALL_BLOCKS)
+    spanned = laid.select("doc_id", "text_key", F.lit(False).alias("head"), nothing[0], "spans", nothing[2]).distinct()
+    named = items.select("doc_id", "text_key", F.lit(False).alias("head"), *nothing[:2], "item_id").distinct()
+    grouped = heads.union(spanned).union(named).groupBy("doc_id", "text_key")
+    per_doc = grouped.agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("found"), F.array_sort(F.collect_set("item_id")).alias("items"), F.count_if("head").cast("int").alias("copies"))
+    spans = _merged(F.array_sort(F.flatten("found")))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
-    out = per_doc.select("doc_id", "text_key", "n_words", "copies", items.alias("items"), spans.alias("spans")).withColumn("n_hit", covered)
+    out = per_doc.select("doc_id", "text_key", "n_words", "copies", "items", spans.alias("spans")).withColumn("n_hit", covered)
     return out.select(
         "doc_id", "text_key", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "items", "spans", "copies",

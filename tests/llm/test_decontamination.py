@@ -86,3 +86,15 @@ def test_blocks_that_are_too_many_to_broadcast(spark, monkeypatch):
     got = {r.doc_id: r for r in d.judge(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     want = {k: brute(t, [(1, item), (2, item + " and more"), (3, "seven eight"), (4, "nine")]) for k, t in docs}
     assert {k: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for k, r in got.items()} == want
+
+
+def test_one_word_again_and_again_costs_its_length(spark, monkeypatch):
+    stored, made = {}, d.materialise
+    monkeypatch.setattr(d, "materialise", lambda s, df, label: stored.setdefault(label, made(s, df, label)))
+    n = 70_000
+    bench = spark.createDataFrame([(k, "again " * n) for k in (7, 8)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + "again " * n + "y"), (2, "again " * 12), (3, "again " * 13)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.spans) for r in d.scan(docs, bench).collect()}
+    assert got == {1: (n + 2, n, ["7", "8"], [(1, n + 1)]), 2: (12, 0, [], []), 3: (13, 13, ["7", "8"], [(0, 13)])}
+    assert stored["decontamination-blocks"].count() == 3 and stored["decontamination-items"].count() == 6
+    assert stored["decontamination-hits"].count() <= n + 30 and stored["decontamination-spans"].count() <= 3 * n
