@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.extract import udtf
@@ -75,6 +75,19 @@ def embed(symbols: DataFrame, relationships: DataFrame, embedder: Embedder) -> D
     return built.select("moniker", embedder.measured("chunk").alias("made")).select("moniker", "made.embedding", "made.tokens", "made.requests")
 
 
+def keep_vectors(made: DataFrame, embedder: Embedder, store: SnapshotStore | None) -> tuple[DataFrame, dict | None]:
+    """The rows of ``embed``, made once and kept in a folder of the store where there is one, else cached; and what they cost, as
+    observed by the job that makes them."""
+    seen = Observation()
+    watched = made.observe(seen, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "requests")])
+    if store:
+        rows = store.staged(watched)
+    else:
+        rows = watched.persist()
+        rows.count()
+    return rows, embedder.usage_of(seen.get["tokens"], seen.get["requests"])
+
+
 def extract_repository(spark: SparkSession, root: str | Path, repo: str, gitignore: bool = True, paths: list[str] | None = None) -> DataFrame:
     """Extraction rows, kept, as files, symbols, relationships and failures are all read from them."""
     return udtf.extract(read_repository(spark, root, repo, gitignore, paths)).persist()
@@ -87,12 +100,7 @@ def build(spark: SparkSession, root: str | Path, url: str, repo: str, embedder:
     symbols = unique_symbols(udtf.symbols_of(extracted), on_duplicate)
     symbols, relationships = link_go_methods(symbols, udtf.relationships_of(extracted))
     embedder = embedder or FixtureEmbedder()
-    made = embed(symbols, relationships, embedder)
-    made = store.staged(made) if store else made.persist()
-    usage = None
-    if embedder.usage_stats() is not None:
-        used = made.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("requests"), F.lit(0))).first()
-        usage = embedder.usage_of(*used)
+    made, usage = keep_vectors(embed(symbols, relationships, embedder), embedder, store)
     return IndexResult(repo, url, git.head_sha(root), udtf.files_of(extracted), symbols, relationships, udtf.failures_of(extracted), made.select("moniker", "embedding"), usage)
 
 

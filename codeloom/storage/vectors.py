@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators import graph, ranking
-from codeloom.storage.snapshot import SnapshotStore
+from codeloom.operators import ranking
+from codeloom.storage.snapshot import Delta, SnapshotStore
 
 
 class VectorStore:
@@ -50,18 +50,20 @@ class VectorStore:
             self.upsert(repo, self.store.spark.createDataFrame(rows, "moniker string, embedding array<float>"))
         return len(monikers)
 
-    def upserted(self, repo: str, vectors: DataFrame) -> DataFrame:
-        """The repository's table with the vectors put in."""
+    def upserted(self, repo: str, vectors: DataFrame) -> Delta:
+        """The change that puts the vectors in."""
         new = self.checked(vectors).select("moniker", "embedding", F.current_timestamp().alias("indexed_at"), F.lit(repo).alias("repo_name"))
-        old = graph.without(self.store.read("embeddings", repo), new, "moniker", "moniker")
-        return old.select("moniker", "embedding", "indexed_at", "repo_name").unionByName(new)
+        return Delta(new, new.select("moniker"))
 
     def upsert(self, repo: str, vectors: DataFrame) -> None:
+        """Only the given rows are written; see ``SnapshotStore.compact``."""
         self.store.commit(repo, {"embeddings": self.upserted(repo, vectors)})
+        self.store.compact(repo)
 
     def delete(self, repo: str, monikers: DataFrame) -> None:
         """Delete by moniker; what is not there is no error."""
-        self.store.commit(repo, {"embeddings": graph.without(self.store.read("embeddings", repo), monikers, "moniker", "moniker")})
+        self.store.commit(repo, {"embeddings": Delta(None, monikers.select("moniker"))})
+        self.store.compact(repo)
 
     def search(self, query: Sequence[float], k: int = 10, repo: str | None = None) -> DataFrame:
         """moniker and dist of the k nearest vectors by cosine distance."""
