@@ -7,6 +7,7 @@ views and applies the operators of ``codeloom.operators`` and ``codeloom.functio
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -18,7 +19,9 @@ from codeloom.functions import identity as ident
 from codeloom.operators import graph, jobs, ranking
 from codeloom.plans import made_code
 from codeloom.schemas import JOBS
-from codeloom.session import table
+from codeloom.session import shared_folder, table
+from codeloom.storage.snapshot import SnapshotStore
+from codeloom.storage.vector_index import VectorIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -519,6 +522,20 @@ def vector_topk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_k_lsh(v, q, LSH_PLANES).withColumn("dist", F.round("dist", 6))
 
 
+@query("vector_topk_index", _TOPK_SQL.format(""))
+def vector_topk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the stored index of a snapshot of all vectors; tests hold its recall against the exact search."""
+    v, q = _vectors(spark, sf_dir)
+    store = SnapshotStore(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    store.commit("all", {"embeddings": v.select("moniker", "embedding", F.current_timestamp().alias("indexed_at"), F.lit("all").alias("repo_name"))})
+    index = VectorIndex(store)
+    index.build(cell_rows=64)
+    asked = q.first()
+    if asked is None:
+        return ranking.top_k(v, q).withColumn("dist", F.round("dist", 6))
+    return index.search([float(x) for x in asked["q"]]).withColumn("dist", F.round("dist", 6))
+
+
 @query("fixture_embed")
 def fixture_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture vectors of all documents; tests hold them against NumPy."""

@@ -22,6 +22,7 @@ from codeloom.sources import git
 from codeloom.sources.gitignore import Rules
 from codeloom.sources.repository import indexable, walk
 from codeloom.storage.snapshot import Delta, SnapshotStore
+from codeloom.storage.vector_index import VectorIndex
 from codeloom.storage.vectors import VectorStore
 
 THRESHOLD, LEAST_FILES = 0.5, 2
@@ -158,7 +159,8 @@ def update(spark: SparkSession, root: str | Path, url: str, repo: str, store: Sn
     )
     for df in (extracted, statuses, now, paths, edges):
         df.unpersist()
-    store.compact(repo)
+    if store.compact(repo):
+        VectorIndex(store).refresh()
     result = UpdateResult(old, new, counts["added"], counts["updated"], counts["deleted"], counts["skipped"], False, failed)
     if usage is not None:
         result.embedding_usage = usage

@@ -15,6 +15,7 @@ from codeloom.operators import graph, ranking
 from codeloom.sources import git
 from codeloom.sources.repository import read_repository
 from codeloom.storage.snapshot import SnapshotStore
+from codeloom.storage.vector_index import VectorIndex
 
 
 class DuplicateMonikers(ValueError):
@@ -125,4 +126,5 @@ def full_index(spark: SparkSession, root: str | Path, url: str, repo: str, store
         export(result, output)
     if store is not None:
         publish(store, result)
+        VectorIndex(store).refresh()
     return result

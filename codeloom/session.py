@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -43,6 +44,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the session's checkpoint folder, or, where it names none, a temporary one on a
+    local master; elsewhere that is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = tempfile.mkdtemp(prefix="codeloom-stores-")
+    return _folders[app]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the registered Parquet tables; read only through Spark, so any Hadoop path works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,4 +1,4 @@
-"""The vector table: dimension rules, upsert, delete and exact search."""
+"""The vector table: dimension rules, upsert, delete, its index, and search."""
 
 from __future__ import annotations
 
@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import ranking
 from codeloom.storage.snapshot import Delta, SnapshotStore
+from codeloom.storage.vector_index import VectorIndex
 
 
 class VectorStore:
     def __init__(self, store: SnapshotStore, dimensions: int):
         if dimensions <= 0:
             raise ValueError("dimensions must be positive")
-        self.store, self.dimensions = store, dimensions
+        self.store, self.dimensions, self.index = store, dimensions, VectorIndex(store)
 
     def check(self) -> None:
         """Another dimension than the stored one is an error."""
@@ -28,7 +29,7 @@ class VectorStore:
         if not recreate:
             self.check()
         if recreate:
-            self.store.amend(lambda m: (m["tables"].pop("embeddings", None), m["properties"].update(dimensions=self.dimensions)))
+            self.store.amend(lambda m: (m["tables"].pop("embeddings", None), m.get("indexes", {}).pop("embeddings", None), m["properties"].update(dimensions=self.dimensions)))
         elif "dimensions" not in self.store.properties():
             self.store.amend(lambda m: m["properties"].setdefault("dimensions", self.dimensions))
             self.check()
@@ -58,16 +59,24 @@ class VectorStore:
     def upsert(self, repo: str, vectors: DataFrame) -> None:
         """Only the given rows are written; see ``SnapshotStore.compact``."""
         self.store.commit(repo, {"embeddings": self.upserted(repo, vectors)})
-        self.store.compact(repo)
+        self._tidy(repo)
 
     def delete(self, repo: str, monikers: DataFrame) -> None:
         """Delete by moniker; what is not there is no error."""
         self.store.commit(repo, {"embeddings": Delta(None, monikers.select("moniker"))})
-        self.store.compact(repo)
+        self._tidy(repo)
+
+    def _tidy(self, repo: str) -> None:
+        """Where a part had too many layers, one base of them, and the index of that."""
+        if self.store.compact(repo):
+            self.index.refresh()
 
     def search(self, query: Sequence[float], k: int = 10, repo: str | None = None) -> DataFrame:
-        """moniker and dist of the k nearest vectors by cosine distance."""
+        """moniker and dist of the k nearest vectors by cosine distance: approximate where the table has an index
+        (``self.index.build``), else exact."""
         if len(query) != self.dimensions:
             raise ValueError(f"a query of {len(query)} dimensions, not {self.dimensions}")
+        if self.index.record() is not None:
+            return self.index.search(query, k, repo)
         asked = self.store.spark.range(1).select(F.array(*[F.lit(float(x)) for x in query]).alias("q"))
         return ranking.top_k(self.store.read("embeddings", repo), asked, k)
