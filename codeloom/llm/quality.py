@@ -272,15 +272,17 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None,
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, junk, toxic in zip(batch["text"], batch["human_junk"], batch["human_toxic"], strict=True):
+            for place, text, junk, toxic in zip(batch["place"], batch["text"], batch["human_junk"], batch["human_toxic"], strict=True):
                 if text and text.split():
                     slots_, found, words = tokens(text)
                     mine = votes(found, words)
-                    out.append((slots_.tobytes(), bytes([*mine[0], junk]), bytes([*mine[1], toxic])))
-            yield pd.DataFrame(out, columns=["slots", "junk", "toxic"])
+                    out.append((place, slots_.tobytes(), bytes([*mine[0], junk]), bytes([*mine[1], toxic])))
+            yield pd.DataFrame(out, columns=["place", "slots", "junk", "toxic"])
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = picked.mapInPandas(hashed, "slots binary, junk binary, toxic binary").toPandas()
+    # One text of each id, so the rows are no more than the ids; in an order that no partitioning changes.
+    picked = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "human_junk", "human_toxic")
+    picked = picked.agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("place", order)
+    rows = picked.mapInPandas(hashed, "place long, slots binary, junk binary, toxic binary").toPandas().sort_values("place", ignore_index=True)
     if not len(rows):
         return Model(np.zeros((2, SLOTS), np.float32), np.array([-9.0, -9.0]), {})
     slots_ = [np.frombuffer(s, np.int32) for s in rows.pop("slots")]

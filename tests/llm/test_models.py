@@ -234,3 +234,14 @@ def test_languages_by_brute_force(spark, tmp_path):
         best = max(share, key=lambda lang: (share[lang], counts[lang]))
         rows_ = [r for r in got if r.doc_id == doc_id]
         assert any(r.lang_pred == best and abs(r.score - share[best]) < 0.01 for r in rows_)
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda s, p, own=quality.learn: seen.append(len(s)) or own(s, p))
+    rows = documents(60) + [(7, f"text number {k} of one id", "en", "s", 1, "x", 1, "y") for k in range(3000)]
+    labels = spark.createDataFrame([(7, 1, 0), (1000, 0, 1)], "doc_id long, quality int, toxic int")
+    model = quality.train(spark, spark.createDataFrame(rows, DOCS), labels, sample=80, labelled=40)
+    assert len(seen) == 2 and 40 <= min(seen) and max(seen) <= 42
+    again = quality.train(spark, spark.createDataFrame(rows[::-1], DOCS).repartition(7), labels, sample=80, labelled=40)
+    assert np.array_equal(model.weights, again.weights)
