@@ -7,6 +7,7 @@ stream form reads event files as they arrive, with a watermark that bounds the s
 from __future__ import annotations
 
 import os
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -18,20 +19,27 @@ from pyspark.sql import functions as F
 from codeloom.operators import jobs
 from codeloom.operators.graph import upsert
 from codeloom.schemas import CHANGED_FILES, JOBS
+from codeloom.streaming import lifecycle
 from codeloom.streaming.logs import LogHub
 
 EVENTS = "id string, seq bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in JOBS.fields if f.name != "id")
 
 
+#: Event files above which they are made one.
+FILES = 64
+
+
 def now() -> str:
     return datetime.now(UTC).isoformat()
 
 
 class JobQueue:
-    """One worker, first in first out: queued, running, then succeeded, failed or cancelled."""
+    """First in first out: queued, running, then succeeded, failed or cancelled. Threads may share a queue: numbers are given, and a
+    job is taken, under its lock. Event files are made one when there are more than ``FILES``."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._lock, self._appended = threading.RLock(), 0
         self.hub, self.running = LogHub(), None
         self.seq = self.events().agg(F.max("seq")).first()[0] or 0
         for r in self.state().where("status = 'running'").select("id").collect():  # a restart ends what ran
@@ -49,12 +57,55 @@ class JobQueue:
         return jobs.latest_state(self.events())
 
     def _append(self, job: str, **fields) -> None:
-        # Microseconds, so that events of several writers are in order of time; never less than this writer's last.
-        self.seq = max(self.seq + 1, time.time_ns() // 1000)
-        row = {"id": job, "seq": self.seq} | fields
-        schema = ", ".join(f"{n} {t}" for n, t in (x.split(" ", 1) for x in EVENTS.split(", ")))
-        names = [x.split(" ", 1)[0] for x in EVENTS.split(", ")]
-        self.spark.createDataFrame([tuple(row.get(n) for n in names)], schema).coalesce(1).write.mode("append").parquet(self.path)
+        with self._lock:
+            # Microseconds, so that events of several writers are in order of time; never less than this writer's last.
+            self.seq = max(self.seq + 1, time.time_ns() // 1000)
+            row = {"id": job, "seq": self.seq} | fields
+            names = [x.split(" ", 1)[0] for x in EVENTS.split(", ")]
+            self.spark.createDataFrame([tuple(row.get(n) for n in names)], EVENTS).coalesce(1).write.mode("append").parquet(self.path)
+            self._appended += 1
+            if self._appended % FILES == 0:
+                self.compact()
+
+    def compact(self) -> int:
+        """Make one of the event files there are, and return how many they were. The new file is there before the old ones go;
+        events that are read twice count once."""
+        with self._lock:
+            jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+            path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+            fs = path(self.path).getFileSystem(conf)
+            files = [s.getPath() for s in fs.listStatus(path(self.path)) if s.isFile() and s.getPath().getName().endswith(".parquet")]
+            if len(files) < 2:
+                return len(files)
+            made = f"{self.path}/_made-{uuid.uuid4().hex}"
+            events = self.spark.read.schema(EVENTS).parquet(*[f.toString() for f in files])
+            events.distinct().coalesce(1).write.parquet(made)
+            for s in fs.listStatus(path(made)):
+                if s.getPath().getName().endswith(".parquet"):
+                    fs.rename(s.getPath(), path(f"{self.path}/all-{uuid.uuid4().hex}.parquet"))
+            for f in files:
+                fs.delete(f, False)
+            fs.delete(path(made), True)
+            return len(files)
+
+    def watch(self, checkpoint: str, stale: float = 3600, grace: float = 10, clock: str = "processing", trigger: dict | None = None):
+        """Follow the ledger's own events (see ``lifecycle``) and do what is due: Spark jobs of one that is to stop or to be killed are
+        cancelled, and what a timer has decided goes into the ledger."""
+        events = self.spark.readStream.schema(EVENTS).option("ignoreMissingFiles", "true").parquet(self.path).withColumn("at", F.timestamp_micros("seq"))
+
+        def act(rows: DataFrame, _: int) -> None:
+            for r in rows.where("action is not null").select("id", "status", "action", "error").collect():
+                self.spark.sparkContext.cancelJobsWithTag(f"job-{r['id']}")
+                if r["action"] != "stop" and self.status_of(r["id"]) not in jobs.FINISHED:
+                    self._append(r["id"], status=r["status"], error=r["error"], finished_at=now())
+                    self.hub.end(r["id"])
+
+        changes = lifecycle.follow(events, stale, grace, clock=clock)
+        return changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).foreachBatch(act).start()
+
+    def status_of(self, job: str) -> str | None:
+        row = self.state().where(F.col("id") == job).first()
+        return row["status"] if row else None
 
     def log(self, line: str, source: str = "stdout") -> None:
         """A line of the job that runs, for those who listen to it."""
@@ -82,19 +133,21 @@ class JobQueue:
         return True
 
     def run_next(self, work: Callable[[str], dict]) -> str | None:
-        """Run the oldest queued job's work under its tag; its result's fields go into the ledger."""
-        first = jobs.queue_positions(self.state()).where("queue_position = 1").first()
-        if first is None:
-            return None
-        job, context = first["id"], self.spark.sparkContext
-        url = self.state().where(F.col("id") == job).first()["repo_url"]
-        self._append(job, status="running", started_at=now(), pid=os.getpid())
+        """Run the oldest queued job's work under its tag; its result's fields go into the ledger. ``work`` is called with the url, or,
+        if it has a method ``run``, that with the job's row and a function that logs a line."""
+        with self._lock:
+            row = self.state().where("status = 'queued'").orderBy("created_at", "id").first()
+            if row is None:
+                return None
+            job, context = row["id"], self.spark.sparkContext
+            self._append(job, status="running", started_at=now(), pid=os.getpid())
         self.running = job
         context.addJobTag(f"job-{job}")
         try:
-            done = {"status": "succeeded", "exit_code": 0} | work(url)
+            done = {"status": "succeeded", "exit_code": 0} | (work.run(row.asDict(), self.log) if hasattr(work, "run") else work(row["repo_url"]))
         except Exception as e:  # noqa: BLE001  the job failed, not the worker
             done = {"status": "failed", "exit_code": 1, "error": f"{type(e).__name__}: {e}"}
+            self.log(f"{type(e).__name__}: {e}", "stderr")
         finally:
             context.removeJobTag(f"job-{job}")
         if self.state().where(F.col("id") == job).first()["status"] == "running":
