@@ -103,10 +103,11 @@ def _round(level: int, capacity: int, slack: int) -> Callable[[pd.DataFrame], pd
 
 def dealt(items: DataFrame, nodes: int) -> DataFrame:
     """items (item, size) with a node. The items are numbered by size and dealt in turn, so each node gets its share of every
-    size. Numbers are counted within (size, chunk), as very many items may have one size; sizes are few."""
+    size. Numbers are counted within (size, chunk), as very many items may have one size; sizes are few, and a chunk has
+    a sixteenth of a node's items."""
     if nodes == 1:
         return items.withColumn("node", F.lit(0).cast("long"))
-    chunked = items.withColumn("chunk", F.pmod(F.xxhash64("item"), F.lit(nodes)))
+    chunked = items.withColumn("chunk", F.pmod(F.xxhash64("item"), F.lit(16 * nodes)))
     counts = chunked.groupBy("size", "chunk").agg(F.count("*").alias("n"))
     sizes = counts.groupBy("size").agg(F.sum("n").alias("n"))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
