@@ -41,7 +41,7 @@ from codeloom.llm.common import materialise, prepare
 WIDTH = 50
 BLOCK_BYTES, PIECE_BYTES = 4 << 20, 1 << 17
 #: Anchors of a part of the hash space in (1), and bytes of passages of a part in (2).
-PART_ANCHORS, PART_BYTES = 1 << 20, 12 << 20
+PART_ANCHORS, PART_BYTES = 1 << 20, 8 << 20
 #: Windows of a passage at most; occurrences that make an anchor a hot one.
 PASSAGE, HOT = 256, 100_000
 BROADCAST_BYTES = 64 << 20
