@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import time
+import urllib.error
+import urllib.request
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import numpy as np
@@ -27,6 +32,8 @@ def cosine_distance(a: Column | str, b: Column | str) -> Column:
 #: US dollars per million tokens.
 RATES = {"text-embedding-3-small": 0.02, "text-embedding-3-large": 0.13}
 DEFAULT_RATE = 0.02
+#: Where the remote provider answers unless the configuration names another place (``base_url``).
+DEFAULT_URL = "https://api.openai.com/v1"
 
 
 def rate(model: Column | str, override: float | None = None) -> Column:
@@ -48,6 +55,9 @@ class ConfigError(ValueError):
 class Embedder(ABC):
     """Texts to float32 vectors. Instances are shipped to executors, so what is heavy is made there, once per task."""
 
+    #: A name under which vectors are kept by the digest of their text, for embedders that are paid; None keeps none.
+    identity: str | None = None
+
     @property
     @abstractmethod
     def dimensions(self) -> int: ...
@@ -110,33 +120,73 @@ class FixtureEmbedder(Embedder):
         return out
 
 
+class Busy(OSError):
+    """The provider could not answer now; ``wait`` is the seconds that it asks for, if it does."""
+
+    def __init__(self, message: str, wait: float | None = None):
+        super().__init__(message)
+        self.wait = wait
+
+
+class HttpTransport:
+    """Batches of texts to an endpoint that answers as the embedding API of the usual providers does: POST of ``model`` and ``input``,
+    a list of ``index`` and ``embedding`` back, in any order, and the tokens used."""
+
+    def __init__(self, url: str, model: str, key: str, timeout: float = 60):
+        self.url, self.model, self.key, self.timeout = url.rstrip("/") + "/embeddings", model, key, timeout
+
+    def __call__(self, texts: list[str]) -> tuple[list[list[float]], int]:
+        body = json.dumps({"model": self.model, "input": texts}).encode()
+        request = urllib.request.Request(self.url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                found = json.load(answer)
+        except urllib.error.HTTPError as e:
+            said = e.read(2000).decode("utf-8", "replace")
+            if e.code == 429 or e.code >= 500:
+                after = e.headers.get("Retry-After", "")
+                raise Busy(f"{e.code}: {said}", float(after) if after.replace(".", "", 1).isdigit() else None) from None
+            raise ConfigError(f"the provider refused the request with {e.code}: {said}") from None
+        rows = sorted(found["data"], key=lambda r: r["index"])
+        if [r["index"] for r in rows] != list(range(len(texts))):
+            raise ValueError(f"{len(texts)} texts sent, vectors of {[r['index'] for r in rows]} received")
+        return [r["embedding"] for r in rows], int(found.get("usage", {}).get("total_tokens", 0))
+
+
 class RemoteEmbedder(Embedder):
-    """A provider over HTTP. ``send`` takes a batch of texts and returns their vectors in order and the tokens used; it is
-    a parameter, as this package talks to no network itself."""
+    """A provider over HTTP. ``send`` (such as ``HttpTransport``) takes a batch of texts and returns their vectors in order and the
+    tokens used. At most ``parallel`` batches are on their way at once; one that fails is sent again, after a pause that doubles."""
 
-    def __init__(self, send, model: str = "text-embedding-3-small", dimensions: int = 1536, batch: int = 100, retries: int = 3):
+    def __init__(self, send, model: str = "text-embedding-3-small", dimensions: int = 1536, batch: int = 100, retries: int = 3, parallel: int = 1, pause: float = 0.5):
         self.send, self.model, self._dimensions, self.batch, self.retries = send, model, dimensions, batch, retries
+        self.parallel, self.pause, self.identity = parallel, pause, f"{model}-{dimensions}"
         self.tokens = self.requests = 0
 
     @property
     def dimensions(self) -> int:
         return self._dimensions
 
+    def _sent(self, texts: list[str]) -> tuple[list[list[float]], int]:
+        for attempt in range(self.retries + 1):
+            try:
+                vectors, used = self.send(texts)
+                break
+            except OSError as e:
+                if attempt == self.retries:
+                    raise
+                time.sleep(getattr(e, "wait", None) or self.pause * 2**attempt)
+        if len(vectors) != len(texts):
+            raise ValueError(f"{len(texts)} texts sent, {len(vectors)} vectors received")
+        return vectors, used
+
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.empty((len(texts), self._dimensions), np.float32)
-        for i in range(0, len(texts), self.batch):
-            some = texts[i : i + self.batch]
-            for left in range(self.retries, -1, -1):
-                try:
-                    vectors, used = self.send(some)
-                    break
-                except OSError:
-                    if not left:
-                        raise
-            if len(vectors) != len(some):
-                raise ValueError(f"{len(some)} texts sent, {len(vectors)} vectors received")
-            out[i : i + len(some)] = vectors
-            self.tokens, self.requests = self.tokens + used, self.requests + 1
+        batches = [texts[i : i + self.batch] for i in range(0, len(texts), self.batch)]
+        with ThreadPoolExecutor(max(1, min(self.parallel, len(batches)))) as pool:
+            at = 0
+            for vectors, used in pool.map(self._sent, batches):
+                out[at : at + len(vectors)] = vectors
+                at, self.tokens, self.requests = at + len(vectors), self.tokens + used, self.requests + 1
         return out
 
     def usage_stats(self) -> dict:
@@ -182,11 +232,12 @@ def from_config(path: str | Path | None, send=None) -> Embedder:
     if provider == "fixture":
         return FixtureEmbedder(int(own.get("dimensions", 384)))
     if provider == "openai":
-        if not os.environ.get(own.get("api_key_env", "OPENAI_API_KEY")):
+        key, model = os.environ.get(own.get("api_key_env", "OPENAI_API_KEY")), own.get("model", "text-embedding-3-small")
+        if not key:
             raise ConfigError("the remote provider needs an API key in the environment")
         if send is None:
-            raise ConfigError("the remote provider needs a transport")
-        return RemoteEmbedder(send, own.get("model", "text-embedding-3-small"), int(own.get("dimensions", 1536)), int(own.get("batch_size", 100)))
+            send = HttpTransport(own.get("base_url") or DEFAULT_URL, model, key, float(own.get("timeout", 60)))
+        return RemoteEmbedder(send, model, int(own.get("dimensions", 1536)), int(own.get("batch_size", 100)), int(own.get("retries", 3)), int(own.get("parallel", 4)), float(own.get("pause", 0.5)))
     if provider == "local":
         return LocalEmbedder(own.get("model", "all-MiniLM-L6-v2"), int(own.get("dimensions", 384)), int(own.get("batch_size", 32)))
     raise ConfigError(f"unknown embedder provider {provider!r}")

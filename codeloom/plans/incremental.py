@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.extract import udtf
+from codeloom.functions import chunks
 from codeloom.functions.vectors import Embedder, FixtureEmbedder
 from codeloom.operators import graph
 from codeloom.plans import index
@@ -131,8 +132,8 @@ def update(spark: SparkSession, root: str | Path, url: str, repo: str, store: Sn
     wanted = now.join(to_embed, "id", "left_semi")
     methods_of = now.where("kind = 'method'").join(to_embed.select(F.col("id").alias("enclosing_class_id")), "enclosing_class_id", "left_semi").select(*now.columns)
     scope = wanted.unionByName(methods_of).dropDuplicates(["id"])
-    made = index.embed(scope, graph.affected(all_relationships, to_embed), embedder).join(to_embed.select(F.col("id").alias("moniker")), "moniker", "left_semi")
-    vectors, usage = index.keep_vectors(made, embedder, store)
+    built = chunks.build(scope, graph.affected(all_relationships, to_embed)).join(to_embed.select(F.col("id").alias("moniker")), "moniker", "left_semi")
+    vectors, usage = index.keep_vectors(built, embedder, store)
     stamped = vectors.select("moniker", "embedding", F.current_timestamp().alias("indexed_at"), F.lit(repo).alias("repo_name"))
 
     # Files to write anew: those that changed, and those of Go methods with another type than before.

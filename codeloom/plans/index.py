@@ -14,7 +14,7 @@ from codeloom.functions.vectors import Embedder, FixtureEmbedder
 from codeloom.operators import graph, ranking
 from codeloom.sources import git
 from codeloom.sources.repository import read_repository
-from codeloom.storage.snapshot import SnapshotStore
+from codeloom.storage.snapshot import Delta, SnapshotStore
 from codeloom.storage.vector_index import VectorIndex
 
 
@@ -70,23 +70,30 @@ def unique_symbols(symbols: DataFrame, on_duplicate: str) -> DataFrame:
     return symbols
 
 
-def embed(symbols: DataFrame, relationships: DataFrame, embedder: Embedder) -> DataFrame:
-    """moniker, embedding, and the tokens and requests that it took."""
-    built = chunks.build(symbols, relationships)
-    return built.select("moniker", embedder.measured("chunk").alias("made")).select("moniker", "made.embedding", "made.tokens", "made.requests")
-
-
-def keep_vectors(made: DataFrame, embedder: Embedder, store: SnapshotStore | None) -> tuple[DataFrame, dict | None]:
-    """The rows of ``embed``, made once and kept in a folder of the store where there is one, else cached; and what they cost, as
-    observed by the job that makes them."""
-    seen = Observation()
+def keep_vectors(built: DataFrame, embedder: Embedder, store: SnapshotStore | None) -> tuple[DataFrame, dict | None]:
+    """moniker and embedding of chunks, made once and kept in a folder of the store where there is one, else cached; and what they
+    cost, as observed by the job that makes them. Of embedders that are paid (``identity``) the store also keeps vectors by the
+    digest of their text, so a text that any repository or commit has had before costs nothing."""
+    wanted, seen = built.select("moniker", "chunk"), Observation()
+    by_digest = store is not None and embedder.identity is not None
+    if by_digest:
+        digests = store.staged(wanted.withColumn("digest", F.sha2("chunk", 256)))
+        known = store.read("chunk_vectors", embedder.identity)
+        wanted = digests.join(known, "digest", "left_anti").dropDuplicates(["digest"]).select(F.col("digest").alias("moniker"), "chunk")
+    made = wanted.select("moniker", embedder.measured("chunk").alias("made")).select("moniker", "made.embedding", "made.tokens", "made.requests")
     watched = made.observe(seen, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "requests")])
     if store:
         rows = store.staged(watched)
     else:
         rows = watched.persist()
         rows.count()
-    return rows, embedder.usage_of(seen.get["tokens"], seen.get["requests"])
+    if by_digest:
+        new = rows.select(F.col("moniker").alias("digest"), "embedding")
+        if new.limit(1).count():
+            store.commit(embedder.identity, {"chunk_vectors": Delta(new, new.select("digest"))})
+            store.compact(embedder.identity)
+        rows = digests.join(known.unionByName(new), "digest")
+    return rows.select("moniker", "embedding"), embedder.usage_of(seen.get["tokens"], seen.get["requests"])
 
 
 def extract_repository(spark: SparkSession, root: str | Path, repo: str, gitignore: bool = True, paths: list[str] | None = None) -> DataFrame:
@@ -101,7 +108,7 @@ def build(spark: SparkSession, root: str | Path, url: str, repo: str, embedder:
     symbols = unique_symbols(udtf.symbols_of(extracted), on_duplicate)
     symbols, relationships = link_go_methods(symbols, udtf.relationships_of(extracted))
     embedder = embedder or FixtureEmbedder()
-    made, usage = keep_vectors(embed(symbols, relationships, embedder), embedder, store)
+    made, usage = keep_vectors(chunks.build(symbols, relationships), embedder, store)
     return IndexResult(repo, url, git.head_sha(root), udtf.files_of(extracted), symbols, relationships, udtf.failures_of(extracted), made.select("moniker", "embedding"), usage)
 
 

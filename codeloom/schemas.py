@@ -37,6 +37,7 @@ FAILED_FILES = _struct("path STRING, error STRING, repo_name STRING")
 REPOSITORIES = _struct("name STRING, url STRING, commit_sha STRING, indexed_at TIMESTAMP")
 EDGES = _struct("src STRING, label STRING, dst STRING, repo_name STRING")
 EMBEDDINGS = _struct("moniker STRING, embedding FLOATS, indexed_at TIMESTAMP, repo_name STRING", **_NESTED)
+CHUNK_VECTORS = _struct("digest STRING, embedding FLOATS", **_NESTED)
 CHANGED_FILES = _struct("path STRING, status STRING")
 JOBS = _struct(
     "id STRING, repo_url STRING, replace BOOLEAN, status STRING, queue_position INT, started_at STRING, finished_at STRING, exit_code INT, "
