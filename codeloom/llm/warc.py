@@ -5,8 +5,8 @@ holds each record's header bytes and the digest of its payload. A record is rebu
 writing header, block and the closing CRLFs; a revisit's block is empty, as its header says. Every payload is
 hashed again when it is read, and a mismatch raises.
 
-Only narrow digest rows meet in joins and in the choice of the response, so a group of a third of all rows costs
-no more than its rows; equal payloads are reduced to one inside each task before they are shuffled.
+Only narrow digest rows meet in joins and in the choice of the response, and they are salted, so the records of a payload that a
+third of all rows share are not one task's; equal payloads are reduced to one inside each task before they are shuffled.
 
 Defined results: a null html is an empty payload; payloads under ``min_revisit`` bytes are always responses; of
 equal payloads the largest page_id is the response (rows that repeat that page_id are responses too, and a null
@@ -22,9 +22,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import shared_dir
+from codeloom.llm.common import materialise, salted_join, shared_dir
 
 MIN_REVISIT = 1000
+#: Digests (130 bytes each) that are broadcast to the records; more are joined under salts.
+SMALL_DIGESTS = 200_000
 CRLF = "\r\n"
 
 
@@ -45,7 +47,8 @@ def write_archive(spark: SparkSession, pages: DataFrame, path: str, min_revisit:
 
     keyed = hashed.select("page_id", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n_bytes"))
     owners = keyed.where(F.col("n_bytes") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("copies")).where("copies > 1")
-    joined = keyed.join(owners, "digest", "left")
+    owners = materialise(spark, owners.select("digest", "owner"), "warc-owners")
+    joined = salted_join(spark, keyed, owners, "digest", F.xxhash64("page_id", "url"), SMALL_DIGESTS, how="left")
     revisit = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     uri = F.replace(F.replace(F.coalesce(F.col("url"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     header = F.concat(
@@ -93,7 +96,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     text = F.decode("header", "UTF-8")
     refers = F.regexp_extract(text, r"\r\nWARC-Refers-To: <urn:page:(-?\d+)>\r\n", 1)
     heads = _records(spark, path).select("page_id", "digest", F.regexp_extract(text, r"\r\nWARC-Type: (\w+)\r\n", 1).alias("record_type"), F.when(refers != "", refers.cast("long")).alias("refers_to"))
-    return heads.join(facts, "digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    facts = materialise(spark, facts, "warc-facts")
+    return salted_join(spark, heads, facts, "digest", F.xxhash64("page_id"), SMALL_DIGESTS).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:

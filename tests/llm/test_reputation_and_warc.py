@@ -103,3 +103,18 @@ def test_the_archive_as_plain_files(spark, tmp_path):
         found.append(head + b"\r\n\r\n" + rest[: n + 4])
         data = rest[n + 4 :]
     assert sorted(found) == sorted(bytes(r.record) for r in warc.reconstruct(spark, path).collect())
+
+
+def test_a_payload_of_very_many_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SMALL_DIGESTS", 0)
+    hot = "h" * 1200
+    rows = [(i if i % 5 else None, f"http://a/{i}", hot if i % 3 else f"page {i}", "h", "d") for i in range(600)]
+    rows += [(900 + i, "u", None, "h", "d") for i in range(200)]
+    got = warc.archive_pages(spark, spark.createDataFrame(rows, PAGES)).collect()
+    owner = max(r[0] for r in rows if r[2] == hot and r[0] is not None)
+    want = []
+    for i, _, html, *_ in rows:
+        own = hot if html == hot else html or ""
+        revisit = own == hot and i != owner
+        want.append((i, len(own), hashlib.sha1(own.encode()).hexdigest(), "revisit" if revisit else "response", owner if revisit else None))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
