@@ -7,8 +7,9 @@ moment estimate of the overdispersion among that level's groups (beta-binomial):
     E[n (p - m)^2] = m (1 - m) (1 + (n - 1) rho),   strength = 1 / rho - 1
 
 A host is blocked when the lower posterior bound of its bad rate, mean - z * sd, passes ``threshold``; a host
-without labels has its domain's prior. Counting is partial before every shuffle, and pages meet one row per host,
-so a host with a third of the pages is an ordinary skewed equi-join that Spark can split.
+without labels has its domain's prior. Pages are counted by id and host before they meet outcomes, so a repeated or missing id is
+no hot key, and meet their host's score under salts, so a host with a third of the pages is no task's. The outcome of a page
+counts for its own host too.
 
 Defined results: a null url or one without ``://`` has empty host and path and is judged like any host; a label
 whose quality and toxic are both null is no outcome; several labels of a page each count; without any labels
@@ -26,12 +27,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ascii_lower, materialise
+from codeloom.llm.common import ascii_lower, materialise, salted_join
 
 #: (verdict, rule); a rule is host/path and fits the host and its subdomains where the path starts with its path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 THRESHOLD, Z = 0.4, 1.645
 RHO_MIN, RHO_MAX = 1e-3, 0.5
+#: Hosts (100 bytes each) whose scores are broadcast; more are joined under salts.
+SMALL_HOSTS = 200_000
 #: Suffixes of more than one label; a parameter, as lists of public suffixes change.
 MULTI_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
 
@@ -100,10 +103,12 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]]
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)")
     bad = (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("long")
     outcomes = known.groupBy(F.col("doc_id").alias("page_id")).agg(F.sum(bad).alias("bad"), F.count("*").alias("n"))
-    counts = urls.select("page_id", "host").join(outcomes, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    pairs = urls.groupBy("page_id", "host").agg(F.count("*").alias("times")).join(outcomes, "page_id", "left")
+    counts = pairs.groupBy("host").agg(*[F.coalesce(F.sum(F.col(c) * F.col("times")), F.lit(0)).alias(c) for c in ("bad", "n")])
     domain, suffix = domain_columns(F.col("host"), multi)
     hosts = materialise(pages.sparkSession, counts.select("host", domain.alias("domain"), suffix.alias("suffix"), "bad", "n"), "reputation-hosts")
     scores = materialise(pages.sparkSession, host_scores(hosts, z), "reputation-scores")
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_bound") > threshold, "block").otherwise("allow")
-    return urls.join(scores, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bad_bound")
+    met = salted_join(pages.sparkSession, urls, scores, "host", F.xxhash64("page_id", "path"), SMALL_HOSTS, how="left")
+    return met.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bad_bound")

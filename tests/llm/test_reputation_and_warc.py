@@ -118,3 +118,17 @@ def test_a_payload_of_very_many_records(spark, tmp_path, monkeypatch):
         revisit = own == hot and i != owner
         want.append((i, len(own), hashlib.sha1(own.encode()).hexdigest(), "revisit" if revisit else "response", owner if revisit else None))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_a_host_of_very_many_pages_and_repeated_ids(spark, monkeypatch):
+    rows = [(k % 7 if k % 3 else None, f"http://{'hot.example.net' if k % 4 else f'h{k}.example.com'}/p{k}", "x", "h", "d") for k in range(400)]
+    pages = spark.createDataFrame(rows, PAGES)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(7) for _ in range(2)], "doc_id long, quality int, toxic int")
+    seen = []
+    for small in (200_000, 0):
+        monkeypatch.setattr(reputation, "SMALL_HOSTS", small)
+        seen.append(sorted(str(tuple(r)) for r in reputation.judge(pages, labels).collect()))
+    assert len(seen[0]) == 400 and seen[0] == seen[1]
+    bound = {r.host: r.bad_bound for r in reputation.judge(pages, labels).collect()}
+    hot = [r for r in rows if "hot." in r[1] and r[0] is not None]
+    assert 0.2 < bound["hot.example.net"] < sum(r[0] % 2 == 0 for r in hot) / len(hot)
