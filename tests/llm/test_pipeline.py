@@ -31,4 +31,4 @@ def test_stages_act_on_what_their_predecessors_kept(spark, tmp_path):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} == seen[3]
     check_sequences(rows, 2048)
-    assert len(corpus_pipeline.STAGES) == 5 and len(queries.QUERIES) == 10
+    assert len(corpus_pipeline.STAGES) == 5 and len(queries.QUERIES) == 13
