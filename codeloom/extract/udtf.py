@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeloom.extract import go_source, python_source, typescript_source
 from codeloom.extract.model import Extraction, sha256
-from codeloom.schemas import EXTRACTION, RELATIONSHIPS, SYMBOLS
+from codeloom.schemas import EXTRACTION
 from codeloom.session import ship
 
 Extractor = Callable[[str, bytes, str], Extraction]
@@ -36,11 +37,12 @@ def extract_one(repo: str, path: str, language: str, content: bytes | None, erro
     return row | {"status": "partial" if found.left_out else "ok", "error": found.left_out, "symbols": found.symbols, "relationships": found.relationships}
 
 
-def extract(files: DataFrame, registry: dict[str, Extractor] | None = None) -> DataFrame:
-    """EXTRACTION rows of files (repo_name, path, language, content, error); languages without an extractor are left out."""
+def extract(files: DataFrame, registry: dict[str, Extractor] | None = None, wanted: T.StructType = EXTRACTION) -> DataFrame:
+    """EXTRACTION rows of files (repo_name, path, language, content, error), or the wanted part of them; languages without an
+    extractor are left out."""
     ship(files.sparkSession)
     known = registry or REGISTRY
-    schema = to_arrow_schema(EXTRACTION)
+    schema = to_arrow_schema(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,15 +51,15 @@ def extract(files: DataFrame, registry: dict[str, Extractor] | None = None) -> D
                 yield pa.RecordBatch.from_pylist([extract_one(r["repo_name"], r["path"], r["language"], r["content"], r["error"], known) for r in some], schema=schema)
 
     usable = files.where(F.col("language").isin(*known)).select("repo_name", "path", "language", "content", "error")
-    return usable.mapInArrow(run, EXTRACTION)
+    return usable.mapInArrow(run, wanted)
 
 
 def symbols_of(extracted: DataFrame) -> DataFrame:
-    return extracted.select(F.explode("symbols").alias("s")).select(*[f"s.{c}" for c in SYMBOLS.names])
+    return extracted.select(F.explode("symbols").alias("s")).select("s.*")
 
 
 def relationships_of(extracted: DataFrame) -> DataFrame:
-    return extracted.select(F.explode("relationships").alias("r")).select(*[f"r.{c}" for c in RELATIONSHIPS.names])
+    return extracted.select(F.explode("relationships").alias("r")).select("r.*")
 
 
 def files_of(extracted: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ from codeloom.functions import chunks, vectors
 from codeloom.functions import identity as ident
 from codeloom.operators import graph, jobs, ranking
 from codeloom.plans import made_code
-from codeloom.schemas import JOBS
-from codeloom.session import shared_folder, table
+from codeloom.schemas import JOBS, extraction
+from codeloom.session import shared_folder, stored, table
 from codeloom.storage.snapshot import SnapshotStore
 from codeloom.storage.vector_index import VectorIndex
 
@@ -688,21 +688,27 @@ def class_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- extraction, on code made from the tables
 
 
+#: Made files that one task parses at most, on average.
+FILES_A_TASK = 5_000
+
+
 def _code(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
-    """One file per customer; its name and segment vary the code."""
-    c = table(spark, sf_dir, "customer")
+    """One file per customer; its name and segment vary the code. Parsing is the work, and the table may be one file, so its rows
+    are dealt to more tasks the more there are, before they become code."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    c = c.repartition(max(1, spark.sparkContext.defaultParallelism, -(-c.count() // FILES_A_TASK)))
     template, ext = made_code.TEMPLATES[language]
     text = F.replace(F.replace(F.lit(template), F.lit("@K"), F.col("c_custkey").cast("string")), F.lit("@S"), F.initcap("c_mktsegment"))
     path = F.concat(F.lit("src/f"), F.col("c_custkey"), F.lit(ext))
-    files = c.select(F.lit("made").alias("repo_name"), path.alias("path"), F.lit(language).alias("language"), text.cast("binary").alias("content"), F.lit(None).cast("string").alias("error"))
-    return files.repartition(max(1, spark.sparkContext.defaultParallelism))  # parsing is the work, and the table may be one file
+    return c.select(F.lit("made").alias("repo_name"), path.alias("path"), F.lit(language).alias("language"), text.cast("binary").alias("content"), F.lit(None).cast("string").alias("error"))
 
 
 def _extracted(language: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from codeloom.extract import udtf
 
-        symbols = udtf.symbols_of(udtf.extract(_code(spark, sf_dir, language)))
+        wanted = extraction(symbols=("id", "kind", "qualified_name", "location", "body_hash", "signature", "complexity"))
+        symbols = udtf.symbols_of(udtf.extract(_code(spark, sf_dir, language), wanted=wanted))
         return symbols.select("id", "kind", "qualified_name", "location.byte_start", "location.byte_end", "body_hash", "signature", "complexity")
 
     run.__doc__ = f"Symbols of one made {language} file per customer."
@@ -728,5 +734,6 @@ def graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.extract import udtf
     from codeloom.plans.export import ordered_relationships
 
-    extracted = udtf.extract(_code(spark, sf_dir, "python"))
-    return ordered_relationships(udtf.relationships_of(extracted)).select("source_id", "kind", "is_resolved", "target_id", "target_name")
+    shown = ("source_id", "kind", "is_resolved", "target_id", "target_name")
+    extracted = udtf.extract(_code(spark, sf_dir, "python"), wanted=extraction(relationships=(*shown, "file_path", "ord")))
+    return ordered_relationships(stored(udtf.relationships_of(extracted), "relationships")).select(*shown)

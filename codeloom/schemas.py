@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import types as T
 
 
@@ -55,6 +57,13 @@ EXTRACTION = T.StructType(
     ]
 )
 
+
+def extraction(**fields: Sequence[str]) -> T.StructType:
+    """The part of EXTRACTION that has the named fields of symbols, of relationships or of both, for readers of no more."""
+    part = lambda name: T.StructType([f for f in EXTRACTION[name].dataType.elementType if f.name in fields[name]])
+    return T.StructType([T.StructField(name, T.ArrayType(part(name))) for name in fields])
+
+
 VISIBILITIES = ("public", "private", "protected", "internal")
 RELATION_KINDS = ("calls", "extends", "implements", "imports", "contains", "references", "returns_type", "parameter_type")
 SYMBOL_KINDS = ("function", "class", "method", "variable", "module")

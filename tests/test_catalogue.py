@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.extract import udtf
 from codeloom.functions import identity as ident
 from codeloom.operators import ranking
 from codeloom.plans import catalogue
@@ -93,3 +94,28 @@ def test_fixture_vectors_same_as_numpy(spark, con):
     for r in rows:
         seed = int.from_bytes(hashlib.sha256(text[r.doc_id].encode()).digest()[-4:], "big")
         assert np.array_equal(np.array(r.embedding, np.float32), np.random.default_rng(seed).random(384).astype(np.float32))
+
+
+@pytest.mark.parametrize("language", ["python", "go", "typescript"])
+def test_made_files_are_dealt_to_more_tasks_the_more_there_are(spark, monkeypatch, language):
+    n = table(spark, SF, "customer").count()
+    monkeypatch.setattr(catalogue, "FILES_A_TASK", 10)
+    assert catalogue._code(spark, SF, language).rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-n // 10))
+
+
+def parsed(spark, monkeypatch):
+    """A counter of the Python files that extractors parse from now on."""
+    count, extract = spark.sparkContext.accumulator(0), udtf.REGISTRY["python"]
+
+    def counted(*file):
+        count.add(1)
+        return extract(*file)
+
+    monkeypatch.setitem(udtf.REGISTRY, "python", counted)
+    return count
+
+
+def test_the_graph_parses_a_file_once(spark, monkeypatch):
+    count = parsed(spark, monkeypatch)
+    assert catalogue.QUERIES["graph_json"](spark, SF).collect()
+    assert count.value == table(spark, SF, "customer").count()
