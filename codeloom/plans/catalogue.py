@@ -724,7 +724,8 @@ def function_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of everything embeddable in the made Python files."""
     from codeloom.extract import udtf
 
-    extracted = udtf.extract(_code(spark, sf_dir, "python")).persist()  # read by four branches
+    wanted = extraction(symbols=chunks.SYMBOL_FIELDS, relationships=chunks.RELATIONSHIP_FIELDS)
+    extracted = stored(udtf.extract(_code(spark, sf_dir, "python"), wanted=wanted), "extracted")  # read by several branches
     return chunks.build(udtf.symbols_of(extracted), udtf.relationships_of(extracted))
 
 

@@ -119,3 +119,11 @@ def test_the_graph_parses_a_file_once(spark, monkeypatch):
     count = parsed(spark, monkeypatch)
     assert catalogue.QUERIES["graph_json"](spark, SF).collect()
     assert count.value == table(spark, SF, "customer").count()
+
+
+def test_chunks_parse_a_file_once_and_leave_nothing_cached(spark, monkeypatch):
+    count, cached = parsed(spark, monkeypatch), spark.sparkContext._jsc.getPersistentRDDs
+    held = set(cached())
+    assert catalogue.QUERIES["function_chunk"](spark, SF).collect()
+    assert set(cached()) <= held
+    assert count.value == table(spark, SF, "customer").count()
